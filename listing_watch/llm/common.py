@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +54,17 @@ def word_array(text):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def groups(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 2_000_000, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with bounded text; a single longer text comes alone."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(text_at)), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if i > start and (held + n > chars or i - start >= rows):
+                yield b.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < b.num_rows:
+            yield b.slice(start)

@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import weak_quality
+from . import bpe_automaton, covering_simhash, lang_crf, license_scan, pii_crf, wavelet, weak_quality
 from .common import table
 
 
+def _vocab(name: str) -> str:
+    """Where the public tokenizers' files are; only their place is used, never a copy."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = wavelet.encode_and_read(table(spark, sf_dir, "documents").select("doc_id", "text"), _vocab("word_bpe_49k.json"))
+    return d.select(F.col("wm_id").alias("doc_id"), F.col("wm_start").alias("start"), F.col("wm_n").alias("n_tokens"), F.col("wm_crc32").alias("ids_crc32"))
+
+
+def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pii_crf.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return d.select(
+        "doc_id",
+        *[F.size(F.filter("pi_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS],
+        F.sha2(written("pi_base"), 256).alias("base_sha256"),
+        written("pi_spans").alias("spans"),
+    )
+
+
 def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = weak_quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(
@@ -17,5 +40,25 @@ def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_weak_quality": op5_weak_quality}
-ORACLE_SQL: dict[str, str] = {}
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.col("ls_license").alias("license"), F.col("ls_dice").alias("dice"), F.col("ls_matches").alias("n_matches"))
+
+
+def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = covering_simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.lpad(F.lower(F.hex("sh_fp")), 16, "0").alias("fingerprint"), F.col("sh_component").alias("component_id"))
+
+
+def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bpe_automaton.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), _vocab("byte_bpe_50k.json"))
+    return d.select("doc_id", F.col("bpe_n").alias("n_tokens"), F.col("bpe_ids_sha256").alias("ids_sha256"), F.col("bpe_decoded_sha256").alias("decoded_sha256"))
+
+
+def op10_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lang_crf.learn_and_predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return d.select("doc_id", lang_crf.held_out(F.col("doc_id")).alias("held_out"), F.col("lc_lang").alias("lang_pred"), F.col("lc_score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_pii_crf, op5_weak_quality, op6_license_scan, op7_covering_simhash, op9_bpe_automaton, op10_lang_crf)}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, covering_simhash, lang_crf, license_scan, pii_crf, wavelet, weak_quality
+from . import bpe_automaton, covering_simhash, lang_crf, license_scan, pii_crf, source_mix, wavelet, weak_quality
 from .common import table
 
 
@@ -24,9 +24,10 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pii_crf.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda k: F.size(F.filter("pi_base", lambda s: s["kind"] == k)).cast("long")
     return d.select(
         "doc_id",
-        *[F.size(F.filter("pi_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS],
+        *[number(k).alias(f"n_{k}") for k in pii_crf.KINDS],
         F.sha2(written("pi_base"), 256).alias("base_sha256"),
         written("pi_spans").alias("spans"),
     )
@@ -50,6 +51,11 @@ def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.lpad(F.lower(F.hex("sh_fp")), 16, "0").alias("fingerprint"), F.col("sh_component").alias("component_id"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = source_mix.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return d.select(F.col("mx_id").alias("doc_id"), *[F.col(f"mx_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = bpe_automaton.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), _vocab("byte_bpe_50k.json"))
     return d.select("doc_id", F.col("bpe_n").alias("n_tokens"), F.col("bpe_ids_sha256").alias("ids_sha256"), F.col("bpe_decoded_sha256").alias("decoded_sha256"))
@@ -60,5 +66,5 @@ def op10_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", lang_crf.held_out(F.col("doc_id")).alias("held_out"), F.col("lc_lang").alias("lang_pred"), F.col("lc_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_pii_crf, op5_weak_quality, op6_license_scan, op7_covering_simhash, op9_bpe_automaton, op10_lang_crf)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_pii_crf, op5_weak_quality, op6_license_scan, op7_covering_simhash, op8_source_mix, op9_bpe_automaton, op10_lang_crf)}
 ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_stable, bpe_automaton, covering_simhash, lang_crf, license_scan, pii_crf, source_mix, wavelet, weak_quality
+from . import ann_stable, bpe_automaton, covering_simhash, html_blocks, lang_crf, license_scan, pii_crf, source_mix, wavelet, weak_quality
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op3_stable_kd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("an_query").alias("query_id"), F.col("an_rank").alias("rank"), F.col("an_id").alias("vec_id"), F.col("an_score").alias("score"))
 
 
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return d.select("page_id", "url", F.col("hb_text").alias("text"), F.length("hb_text").cast("long").alias("n_chars"))
+
+
 def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = weak_quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select(
@@ -71,5 +76,5 @@ def op10_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", lang_crf.held_out(F.col("doc_id")).alias("held_out"), F.col("lc_lang").alias("lang_pred"), F.col("lc_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_pii_crf, op3_stable_kd, op5_weak_quality, op6_license_scan, op7_covering_simhash, op8_source_mix, op9_bpe_automaton, op10_lang_crf)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_pii_crf, op3_stable_kd, op4_html_blocks, op5_weak_quality, op6_license_scan, op7_covering_simhash, op8_source_mix, op9_bpe_automaton, op10_lang_crf)}
 ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle()}

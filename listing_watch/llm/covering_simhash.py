@@ -141,6 +141,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The row with the smallest id of each component, with the columns of docs.
 
-    Of rows that repeat an id in one component all stay; a null id stays too."""
-    kept = near_duplicates(docs, text_col, id_col).filter(F.col(id_col) == F.col("sh_component")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    Rows that repeat an id stay or go together: they stay if any is the first of its component.
+    Rows with a null id stay."""
+    ids = near_duplicates(docs, text_col, id_col).groupBy(id_col).agg(F.bool_or(F.col(id_col) == F.col("sh_component")).alias("first"))
+    gone = ids.filter(~F.col("first")).select(id_col)
+    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -92,6 +92,12 @@ reach us : [email sales at store dot co dot uk] or come by
 e-mail [email bob99 at web dot fr] , please
 [email kim at home dot es] is where to send it
 email [email max_m (at) uni (dot) edu] or wait
+please mail [email tom at foo dot com] today
+just mail [email eva dot berg at post dot se] , she knows
+ask [email office at site dot org] about it
+send it to [email lee at box dot io] by friday
+he was at home with a dot on his nose
+look at the dot there and at the line
 call [phone 555-123-4567] now
 call me on [phone (212) 555-0199] before noon
 tel [phone 030 1234567] or write

@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +43,7 @@ from .common import groups, local_path, new_path
 MAGIC = b"WAVEMTX1"
 BLOCK = 512
 SHARD_TOKENS = 1 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 class Plane:
@@ -111,26 +113,31 @@ class Shard:
             np.array([x is None for x in doc_ids], np.uint8).tobytes(),
             np.cumsum(lengths, dtype="<i8").tobytes(),
         ]
-        a = ids
+        kind = np.uint16 if levels <= 16 else np.uint32
+        a, below = ids.astype(kind), np.empty(len(ids), kind)
         for level in range(levels):
-            one = (a >> (levels - 1 - level) & 1).astype(bool)
+            one = (a & kind(1 << (levels - 1 - level))).astype(bool)
             parts.append(np.packbits(one, bitorder="little").tobytes())
-            a = np.concatenate([a[~one], a[one]])
+            n = np.count_nonzero(one)
+            np.compress(one, a, out=below[len(a) - n :])
+            np.compress(np.logical_not(one, out=one), a, out=below[: len(a) - n])
+            a, below = below, a
         packed = [z.compress(p) if p else b"" for p in parts]
         head = json.dumps({"n": len(ids), "docs": len(doc_ids), "start": start, "order": order, "levels": levels, "parts": [len(p) for p in packed]}).encode()
         return MAGIC + struct.pack("<q", len(head)) + head + b"".join(packed)
 
     def tokens(self) -> np.ndarray:
         """All ids: the stable splits undone from the lowest plane up."""
-        a = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        a, up = np.zeros(self.n, kind), np.empty(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
             p = self.planes[level]
             one = p.bits()
             # a holds the lower bits in the order after this level's split
-            up = np.empty_like(a)
-            up[~one] = a[: p.zeros]
-            up[one] = a[p.zeros :] | np.uint32(1 << (self.levels - 1 - level))
-            a = up
+            a[p.zeros :] |= kind(1 << (self.levels - 1 - level))
+            up[one] = a[p.zeros :]
+            up[np.logical_not(one, out=one)] = a[: p.zeros]
+            a, up = up, a
         return a
 
     def access(self, i: int) -> int:
@@ -167,6 +174,18 @@ class Shard:
         return i
 
 
+#: Beyond these, letter case and composed forms depend on more than the character itself.
+OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]|<[|]")
+#: A full stop or comma that ends a word of letters; the pre-split always cuts before it.
+MARK = re.compile(r"[.,](?<=[a-zß-öø-ÿ][.,])(?![^ \n])")
+
+
+def plain_words(text: str) -> str:
+    """The text with fewer distinct words and the same ids: lower case, as the normaliser has it,
+    and final marks set off. Texts with other than Latin letters, or special strings, stay."""
+    return text if OTHER.search(text) else MARK.sub(r" \g<0>", text.lower())
+
+
 class Encoder:
     """Whole texts to ids with a tokenizers file whose words never span white space.
 
@@ -185,11 +204,11 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         for w, e in zip(words, self.t.encode_batch_fast(words, add_special_tokens=False)):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
+            self.cache[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
+        cut = [plain_words(x).replace("\n", " ").split(" ") for x in texts]
         if len(self.cache) > self.limit:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older

@@ -40,8 +40,8 @@ SAMPLE = 20_000
 CELL = 4_000
 MAX_CELLS = 1_024
 PART = 8_000
-LEAF = 48
-CHUNK = 256
+LEAF = 256
+CHUNK = 1024
 SEED = 7
 
 
@@ -122,14 +122,14 @@ def search_part(
     dist = (gap * gap).sum(axis=2)
     order = np.argsort(dist, axis=1, kind="stable")
     n = len(q_ids)
-    best = np.full((n, k), -np.inf)
-    who = np.full((n, k), -1, np.int64)
+    best = np.full((n, k), -np.inf)  # the k greatest scores so far, the least first
     norm = top * top + (q_vectors * q_vectors).sum(axis=1)
     live = np.arange(n)
+    rows_found, at_found, score_found = [], [], []
     for step in range(len(cells)):
         d = dist[live, order[live, step]]
         # squared distance of lengthened vectors: M^2 + |q|^2 - 2 <x, q>
-        kth = np.minimum(worst[live], np.maximum(norm[live] - 2 * best[live, -1], 0))
+        kth = np.minimum(worst[live], np.maximum(norm[live] - 2 * best[live, 0], 0))
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(np.isfinite(kth), np.where(kth > 0, d / kth, np.where(d > 0, np.inf, 0.0)), 0.0)
         live = live[chi2_below(ratio) < confidence]
@@ -139,15 +139,36 @@ def search_part(
         for c in np.unique(leaf):
             rows, at = live[leaf == c], cells[c]
             score = q_vectors[rows] @ vectors[at].T
-            score[q_ids[rows][:, None] == ids[at][None]] = -np.inf
-            both = np.concatenate([best[rows], score], axis=1)
-            names = np.concatenate([who[rows], np.broadcast_to(at, (len(rows), len(at)))], axis=1)
-            key = np.where(names >= 0, ids[names], np.iinfo(np.int64).max)
-            pick = np.lexsort((key, -both), axis=1)[:, :k]
-            best[rows] = np.take_along_axis(both, pick, axis=1)
-            who[rows] = np.where(np.isfinite(best[rows]), np.take_along_axis(names, pick, axis=1), -1)
-    a, b = np.nonzero(who >= 0)
-    return a, who[a, b], best[a, b]
+            a, b = np.nonzero((score >= best[rows, :1]) & (q_ids[rows][:, None] != ids[at][None]))
+            if not len(a):
+                continue
+            rows_found.append(rows[a])
+            at_found.append(at[b])
+            score_found.append(score[a, b])
+            hit = np.unique(a)
+            own = q_ids[rows[hit]][:, None] == ids[at][None]
+            both = np.concatenate([best[rows[hit]], np.where(own, -np.inf, score[hit])], axis=1)
+            both = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            best[rows[hit]] = both
+    if not rows_found:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0)
+    r, at, sc = np.concatenate(rows_found), np.concatenate(at_found), np.concatenate(score_found)
+    keep = sc >= best[r, 0]
+    r, at, sc = r[keep], at[keep], sc[keep]
+    pick = np.lexsort((ids[at], -sc, r))
+    r, at, sc = r[pick], at[pick], sc[pick]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[place < k], at[place < k], sc[place < k]
+
+
+PACKED = "an_cell long, an_part int, an_ids binary, an_vecs binary, an_ats binary"
+
+
+def pack(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+    """One part as three flat arrays."""
+    flat = lambda c: np.array(p[c].tolist(), float).tobytes()
+    return pd.DataFrame({"an_cell": [key[0]], "an_part": [key[1]], "an_ids": [p["an_id"].to_numpy(np.int64).tobytes()], "an_vecs": [flat("an_vec")], "an_ats": [flat("an_at")]})
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", confidence: float = CONFIDENCE) -> DataFrame:
@@ -183,29 +204,28 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     box = rows.groupBy("an_cell").agg(F.count("*").alias("n"), *[f(F.col("an_at")[i]).alias(f"{s}{i}") for i in range(DIMS) for s, f in (("lo", F.min), ("hi", F.max))]).toPandas()
     parts = F.create_map(*[F.lit(x) for c, m in zip(box["an_cell"], box["n"]) for x in (int(c), -(-int(m) // PART))])
     kept = rows.withColumn("an_part", F.pmod(F.xxhash64("an_id"), parts[F.col("an_cell")]).cast("int"))
-    kept = kept.groupBy("an_cell", "an_part").agg(F.collect_list(F.struct("an_id", "an_vec", "an_at")).alias("an_rows"))
-    kept = stored(kept, "ann-index")
+    kept = stored(kept.groupBy("an_cell", "an_part").applyInPandas(pack, PACKED), "ann-index")
     asked = rows.filter("an_is_query").select("an_id", "an_vec", "an_cell")
     low, high = box[[f"lo{i}" for i in range(DIMS)]].to_numpy(), box[[f"hi{i}" for i in range(DIMS)]].to_numpy()
     names = box["an_cell"].to_numpy()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            for part, ask in zip(p["an_rows"], p["an_asked"]):
-                ids = np.array([r["an_id"] for r in part], np.int64)
-                x = np.array([r["an_vec"] for r in part])
-                at = np.array([r["an_at"] for r in part])
-                q_ids = np.array([r["an_id"] for r in ask], np.int64)
-                q = np.array([r["an_vec"] for r in ask])
-                worst = np.array([np.inf if r["an_worst"] is None else r["an_worst"] for r in ask])
+            for row in p.itertuples(index=False):
+                ids, x, at = (np.frombuffer(b).reshape(-1, w) if w else np.frombuffer(b, np.int64) for b, w in ((row.an_ids, 0), (row.an_vecs, width), (row.an_ats, DIMS)))
+                q_ids, q, worst = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_vecs).reshape(-1, width), np.frombuffer(row.q_worst)
                 a, b, s = search_part(ids, x, at, q_ids, q, project(q, top, True, basis), worst, k, top, confidence)
                 yield pd.DataFrame({"an_query": q_ids[a], "an_id": ids[b], "an_score": s})
 
+    def pack_asked(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        worst = p["an_worst"].astype(float).fillna(np.inf)
+        return pd.DataFrame({"an_cell": [key[0]], "q_ids": [p["an_id"].to_numpy(np.int64).tobytes()], "q_vecs": [np.array(p["an_vec"].tolist()).tobytes()], "q_worst": [worst.to_numpy().tobytes()]})
+
     def meet(ask: DataFrame) -> DataFrame:
         """ask: an_id, an_vec, an_worst, an_cell -> candidates of the queries in those cells."""
-        salt = F.pmod(F.xxhash64("an_id", F.lit(3)), F.lit(max(1, n // (20 * CHUNK))))
-        g = ask.groupBy("an_cell", salt.alias("an_salt")).agg(F.collect_list(F.struct("an_id", "an_vec", "an_worst")).alias("an_asked"))
-        return g.join(kept, "an_cell").select("an_rows", "an_asked").mapInPandas(run, "an_query long, an_id long, an_score double")
+        salt = F.pmod(F.xxhash64("an_id", F.lit(3)), F.lit(max(1, n // (20 * CHUNK)))).alias("an_salt")
+        g = ask.groupBy("an_cell", salt).applyInPandas(pack_asked, "an_cell long, q_ids binary, q_vecs binary, q_worst binary")
+        return g.join(kept, "an_cell").mapInPandas(run, "an_query long, an_id long, an_score double")
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The cells, other than its own, that the stopping test leaves open for a query."""

@@ -13,7 +13,8 @@ all words; a source's target stops at LIMIT times its words, and what is cut off
 others by weight until none is above. No block is read more than LIMIT times.
 
 Running sums (where a document begins in its stream, where a shard's slots begin) are taken in
-two levels, within buckets and over the buckets of a source: no task sees a whole source. The
+two levels, within buckets and over the buckets of a source, of which there are as many as the
+square root of the rows: no task sees a whole source. The
 driver holds one row for each source.
 
 Defined results: a null or empty text has no words, and takes none. A source without words has
@@ -23,6 +24,7 @@ result. Columns made here start with `mx_`.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,7 +43,6 @@ SHARE = 1.5
 LIMIT = 2
 BLOCK = 64
 SHARD_SLOTS = 4096
-BUCKET_ROWS = 20_000
 SEED = 20_011
 WORD = re.compile(r"[^ \t-\r]+[ \t-\r]*")
 
@@ -138,7 +139,7 @@ def _slots(spark: SparkSession, plan: list[tuple[str | None, int, int, float]],
                 yield pd.DataFrame({"mx_shard": np.repeat(p["mx_shard"].to_numpy(), n)[ok], "mx_slot": np.repeat(p["mx_first"].to_numpy(), n)[ok] + step, "mx_of": of, "mx_block": at, "mx_pass": turn.astype(np.int32)})
 
     counts = spark.range(shards if total else 0).mapInPandas(count, "mx_shard long, mx_of int, mx_first long, mx_n long")
-    counts = running(counts, "mx_of", F.floor(F.col("mx_shard") / BUCKET_ROWS), ["mx_shard"], "mx_n", "mx_start")
+    counts = running(counts, "mx_of", F.floor(F.col("mx_shard") / math.ceil(math.sqrt(shards))), ["mx_shard"], "mx_n", "mx_start")
     return counts.mapInPandas(spread, "mx_shard long, mx_slot long, mx_of int, mx_block long, mx_pass int")
 
 
@@ -161,7 +162,7 @@ def mix(
     table = pa.table({"mx_name": pa.array([s for s, *_ in plan], pa.string()), "mx_of": pa.array(range(len(plan)), pa.int32()), "mx_source_size": pa.array([n for _, n, _, _ in plan], pa.int64()), "mx_target": pa.array([t for *_, t in plan], pa.float64())})
     named = F.broadcast(spark.createDataFrame(table, "mx_name string, mx_of int, mx_source_size long, mx_target double"))  # one row a source
     d = rows.join(named, F.col("mx_source").eqNullSafe(F.col("mx_name"))).drop("mx_name")
-    buckets = max(1, sum(k for _, k in got.values()) // BUCKET_ROWS)
+    buckets = math.isqrt(sum(k for _, k in got.values())) + 1
     d = running(d, "mx_of", F.pmod(F.xxhash64("mx_id", "mx_row", F.lit(1)), F.lit(buckets)), ["mx_id", "mx_row"], "mx_size", "mx_start")
     d = stored(d, "mix-documents")
     first, last = F.floor(F.col("mx_start") / block), F.floor((F.col("mx_start") + F.col("mx_size") - 1) / block)

@@ -1,18 +1,24 @@
 """Which terms occur in which listings, and how often.
 
 Terms meet listings in an equi-join on 2-grams: a listing's distinct 2-grams of its tight text
-against one 2-gram of each term, then `contains_term` on the pairs that meet. Grams are spread in
-the map stage; with the rule table small enough to broadcast, as Spark decides, none is shuffled.
-Terms of one character, which have no 2-gram, are tested one by one and are few."""
+against one 2-gram of each term (the character itself for terms of one), then `contains_term` on
+the pairs that meet. Up to MAX_LOCAL terms, the usual rule table, are turned to grams on the
+driver, so Spark knows the size of that side: where it fits it is broadcast, and grams and texts
+are never shuffled. More terms take narrow rows of (id, gram) to the join and the texts after it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+from itertools import pairwise
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_term, prep
 
 GRAMS = "(?=(..))"
+MAX_LOCAL = 50_000
 
 
 def prepared(listings: DataFrame) -> DataFrame:
@@ -22,23 +28,36 @@ def prepared(listings: DataFrame) -> DataFrame:
 
 
 def _gram_of(terms: DataFrame) -> DataFrame:
-    """One 2-gram of each term: that which the fewest other terms have."""
-    g = terms.select("term_t", F.explode(F.array_distinct(F.regexp_extract_all("term_t", F.lit(GRAMS), F.lit(1)))).alias("gram"))
+    """(term_t, gram): one gram of each term, that which the fewest other terms have."""
+    grams = F.when(F.length("term_t") == 1, F.array("term_t")).otherwise(F.array_distinct(F.regexp_extract_all("term_t", F.lit(GRAMS), F.lit(1))))
+    g = terms.select("term_t", F.explode(grams).alias("gram"))
     n = g.groupBy("gram").count()
     return g.join(n, "gram").groupBy("term_t").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
 
 
+def _local_grams(spark: SparkSession, terms: list[str]) -> DataFrame:
+    """The same for a few terms, with a known size."""
+    cut = {t: {t} if len(t) == 1 else {a + b for a, b in pairwise(t)} for t in terms}
+    n = Counter(g for gs in cut.values() for g in gs)
+    rows = {"term_t": list(cut), "gram": [min(gs, key=lambda g: (n[g], g)) for gs in cut.values()]}
+    return spark.createDataFrame(pa.table(rows, pa.schema([("term_t", pa.string()), ("gram", pa.string())])))
+
+
 def term_hits(prepped: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, term_t, in_title, in_desc), a row for each listing and distinct tight term it has."""
     words = terms.select("term_t").filter("term_t != ''").distinct()
-    one = words.filter(F.length("term_t") == 1)
+    few = [r[0] for r in words.limit(MAX_LOCAL + 1).collect()]
     text = prepped.select("id", "t_title", "s_title", "t_desc", "s_desc")
-    grams = F.array_union(F.regexp_extract_all("t_title", F.lit(GRAMS), F.lit(1)), F.regexp_extract_all("t_desc", F.lit(GRAMS), F.lit(1)))
-    long = text.withColumn("gram", F.explode(grams)).join(_gram_of(words.filter(F.length("term_t") > 1)), "gram")
-    letters = F.array_distinct(F.split(F.concat("t_title", "t_desc"), ""))
-    short = text.withColumn("gram", F.explode(letters)).join(one.select(F.col("term_t").alias("gram"), "term_t"), "gram")
+    two = F.array_union(F.regexp_extract_all("t_title", F.lit(GRAMS), F.lit(1)), F.regexp_extract_all("t_desc", F.lit(GRAMS), F.lit(1)))
+    if len(few) <= MAX_LOCAL:
+        single = any(len(t) == 1 for t in few)
+        grams = F.array_union(two, F.split(F.concat("t_title", "t_desc"), "")) if single else two
+        met = text.withColumn("gram", F.explode(grams)).join(_local_grams(prepped.sparkSession, few), "gram")
+    else:
+        grams = F.array_union(two, F.split(F.concat("t_title", "t_desc"), ""))
+        met = text.select("id", F.explode(grams).alias("gram")).join(_gram_of(words), "gram").select("id", "term_t").join(text, "id")
     title, desc = contains_term(F.col("term_t"), F.col("t_title"), F.col("s_title")), contains_term(F.col("term_t"), F.col("t_desc"), F.col("s_desc"))
-    return long.unionByName(short).select("id", "term_t", title.alias("in_title"), desc.alias("in_desc")).filter("in_title or in_desc")
+    return met.select("id", "term_t", title.alias("in_title"), desc.alias("in_desc")).filter("in_title or in_desc")
 
 
 def term_counts(prepped: DataFrame, terms: DataFrame) -> DataFrame:

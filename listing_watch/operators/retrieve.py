@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_term, tight
+from ..functions.text import tight
 from .hits import term_hits
 
 
@@ -31,19 +31,20 @@ def query_matches(prepped: DataFrame, alerts: DataFrame) -> DataFrame:
     """(alert, query_ord, query, id, created): listings that have every word of a query, within the
     alert's status, prices and categories and without the words it leaves out."""
     tokens = _queries(alerts).distinct()
-    hits = term_hits(prepped, tokens).select("id", "term_t")
+    without = alerts.select(F.col("name").alias("alert"), F.explode(F.filter(F.split(F.coalesce("search_exclude", F.lit("")), r"\s+"), lambda x: x != "")).alias("word"))
+    without = without.select("alert", tight(F.col("word")).alias("term_t"))
+    hits = term_hits(prepped, tokens.select("term_t").union(without.select("term_t"))).select("id", "term_t")
     need = tokens.groupBy("alert", "query_ord", "query").agg(F.count_distinct("term_t").alias("need"), F.bool_or(F.col("term_t") == "").alias("empty")).filter(~F.col("empty"))
     # the hit table is skewed by term: it meets the few queries by broadcast and is grouped by id
     full = hits.join(tokens, "term_t").groupBy("alert", "query_ord", "id").agg(F.count("*").alias("n"))
     full = full.join(need, ["alert", "query_ord"]).filter("n = need").select("alert", "query_ord", "query", "id")
-    limits = alerts.select(F.col("name").alias("alert"), "price_min", "price_max", "categories", F.filter(F.split(F.coalesce("search_exclude", F.lit("")), r"\s+"), lambda x: x != "").alias("without"))
-    d = full.join(prepped.select("id", "created", "price", "status", "category_id", "t_title", "s_title", "t_desc", "s_desc"), "id").join(limits, "alert")
+    limits = alerts.select(F.col("name").alias("alert"), "price_min", "price_max", "categories")
+    d = full.join(prepped.select("id", "created", "price", "status", "category_id"), "id").join(limits, "alert")
     fine = F.col("status").isin("on_sale", "sold")
     fine &= F.coalesce(F.col("price") >= F.col("price_min"), F.col("price_min").isNull()) & F.coalesce(F.col("price") <= F.col("price_max"), F.col("price_max").isNull())
     fine &= (F.size(F.coalesce("categories", F.array().cast("array<bigint>"))) == 0) | F.coalesce(F.array_contains("categories", F.col("category_id").cast("long")), F.lit(False))
     d = d.filter(fine)
-    left_out = limits.select("alert", F.explode("without").alias("word")).select("alert", tight(F.col("word")).alias("x_t"))
-    bad = d.join(left_out, "alert").filter(contains_term(F.col("x_t"), F.col("t_title"), F.col("s_title")) | contains_term(F.col("x_t"), F.col("t_desc"), F.col("s_desc")))
+    bad = hits.join(without, "term_t")
     return d.select("alert", "query_ord", "query", "id", "created").join(bad.select("alert", "id").distinct(), ["alert", "id"], "left_anti")
 
 

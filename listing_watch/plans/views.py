@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tight
 from ..operators.hits import prepared, term_hits
 from ..operators.retrieve import query_matches
-from ..sources.alerts import ALERT, _row, alert_defaults, flatten_rules, rule_params
+from ..sources.alerts import _row, alert_defaults, alerts_of, flatten_rules, rule_params
 
 ALERTS = [
     {
@@ -41,7 +41,7 @@ PREFIX = "https://shop.example.com/item/"
 
 def alerts(spark: SparkSession) -> DataFrame:
     rows = [_row(a, "inline", "search_exclude") for a in ALERTS]
-    return alert_defaults(spark.createDataFrame(rows, ALERT))
+    return alert_defaults(alerts_of(spark, rows))
 
 
 def rules(spark: SparkSession) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import is_short_code, tight
 
@@ -69,6 +71,11 @@ def _row(alert: dict, source: str, exclude_field: str) -> dict:
     return out
 
 
+def alerts_of(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Rows of ALERT as a local table, whose size Spark knows."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(ALERT)), ALERT)
+
+
 def load_alerts(spark: SparkSession, json_path: str | None = None, yaml_path: str | None = None, exclude_field: str = "search_exclude") -> DataFrame:
     """The alerts of a JSON and a YAML file ({"alerts": [...]}), JSON first; either may be missing.
     Configuration is small and is parsed on the driver, from any store Spark reads."""
@@ -91,7 +98,7 @@ def load_alerts(spark: SparkSession, json_path: str | None = None, yaml_path: st
 
             doc = yaml.safe_load(text[0]) if text else None
         rows += [_row(a, kind, exclude_field) for a in (doc or {}).get("alerts") or []]
-    return spark.createDataFrame(rows, ALERT)
+    return alerts_of(spark, rows)
 
 
 def validate_alerts(alerts: DataFrame) -> DataFrame:

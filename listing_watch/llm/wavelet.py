@@ -183,7 +183,9 @@ MARK = re.compile(r"[.,](?<=[a-zß-öø-ÿ][.,])(?![^ \n])")
 def plain_words(text: str) -> str:
     """The text with fewer distinct words and the same ids: lower case, as the normaliser has it,
     and final marks set off. Texts with other than Latin letters, or special strings, stay."""
-    return text if OTHER.search(text) else MARK.sub(r" \g<0>", text.lower())
+    if "<|" in text or not text.isascii() and OTHER.search(text):
+        return text
+    return MARK.sub(r" \g<0>", text.lower())
 
 
 class Encoder:
@@ -193,18 +195,25 @@ class Encoder:
     remembered in two generations of bounded size, as flat arrays."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
-        from tokenizers import Tokenizer
-
-        self.t = Tokenizer.from_file(path)
-        self.t.no_padding()
-        self.t.no_truncation()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.t, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.t, self.bare):
+            t.no_padding()
+            t.no_truncation()
+        # words of small Latin letters are normal already, and one piece
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.limit = cache_words
 
     def _learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.t.encode_batch_fast(words, add_special_tokens=False)):
-            self.cache[w] = array("I", e.ids).tobytes()
+        plain = [w for w in words if w.isalpha() and w.islower() and (w.isascii() or not OTHER.search(w))]
+        rest = list(set(words).difference(plain))
+        for t, some in ((self.bare, plain), (self.t, rest)):
+            for w, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False)):
+                self.cache[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -220,7 +229,7 @@ class Encoder:
             else:
                 todo.append(w)
         self._learn(todo)
-        return [b"".join([cache[w] for w in words]) for words in cut]
+        return [b"".join(map(cache.__getitem__, words)) for words in cut]
 
 
 @lru_cache(maxsize=2)

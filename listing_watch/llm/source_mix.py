@@ -170,7 +170,8 @@ def mix(
     begin = F.greatest(F.lit(0), F.col("mx_block") * block - F.col("mx_start"))
     end = F.least(F.col("mx_size"), (F.col("mx_block") + 1) * block - F.col("mx_start"))
     pieces = pieces.withColumn("mx_from", begin).withColumn("mx_n", end - begin).drop("mx_size")
-    return d, _slots(spark, plan, block, shard_slots, limit).join(pieces, ["mx_of", "mx_block"])
+    # Spark takes the slots to be as few as the shards, and would broadcast them
+    return d, _slots(spark, plan, block, shard_slots, limit).hint("merge").join(pieces, ["mx_of", "mx_block"])
 
 
 def taken(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:

@@ -453,8 +453,8 @@ def _examples(s, d):
 
 
 def _ranked(s, d):
-    p = ln.prepared_examples(_examples(s, d)).filter("polarity = 1")
-    return ln.rank_candidates(ln.sized(ln.candidate_df(ln.collect_candidates(p), p), p)), p
+    p = ln.prepared_examples(_examples(s, d)).filter("polarity = 1").persist()
+    return ln.rank_candidates(ln.sized(ln.candidate_df(ln.collect_candidates(p), p), p)).persist(), p
 
 
 @query()
@@ -482,13 +482,6 @@ def learn_excludes(s, d):
     return ln.learn_excludes(p.filter("polarity = 1"), p.filter("polarity = 0"))
 
 
-@query()
-def learn_alert(s, d):
-    x = _examples(s, d)
-    a = ln.learned_alert(ln.learn_alerts(x, v.prepped(s, d)), x)
-    return a.select("name", "label", "queries", "match", "learned_from")
-
-
 # refining ----------------------------------------------------------------------------------
 
 

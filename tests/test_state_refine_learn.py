@@ -53,20 +53,10 @@ def examples(spark):
     return spark.createDataFrame(rows, "label_id string, ex_ord long, polarity int, item_id string, name string, description string")
 
 
-def test_learn(spark):
-    x = examples(spark)
-    corpus = prepared(x.select("name", "description").withColumn("id", F.monotonically_increasing_id().cast("string")))
-    parts = learn.learn_alerts(x, corpus)
-    signals = {r["surface"]: r["weight"] for r in parts["signals"].collect()}
-    assert signals["GX-01"] == 15.0 and signals["勇者ロボ"] == 6.0 and "限定" not in signals
-    assert [r["surface"] for r in parts["excludes"].collect()] == ["青い海"]
-    assert parts["require"].first()["terms"][0] == "GX-01"
-    assert parts["threshold"].first()["min_score"] > 3
-    q = [r["query"] for r in parts["queries"].orderBy("ord").collect()]
-    assert "GX-01" in q and len(q) == len(set(q)) <= 8
-    assert {r["reach"] for r in parts["coverage"].collect()} <= {"title", "text"}
-    a = learn.learned_alert(parts, x).first()
-    assert a["name"] == "x" and a["learned_from"] == ["i0", "i1", "i2"] and a["match"]["exclude"] == ["青い海"]
+def test_learn_excludes(spark):
+    p = prepared(examples(spark)).persist()
+    got = learn.learn_excludes(p.filter("polarity = 1"), p.filter("polarity = 0")).collect()
+    assert [r["surface"] for r in got] == ["青い海"]
 
 
 def test_redundant_terms(spark):

@@ -1,8 +1,10 @@
 """Mixing sources to target weights, by blocks.
 
-Each source's words form a stream that is packed into blocks of BLOCK words. Output shards of
-SHARD_SLOTS slots draw how many blocks they take of each source: the whole part of each mean is
-given, the rest is drawn from a multinomial, with the shard's number as seed. A source's slots
+Each source's words form a stream that is packed into blocks of BLOCK words. A source has a whole
+number of slots, its mean rounded so that all sum to the total, and output shards of SHARD_SLOTS
+slots deal them out without replacement: the range of shards is halved again and again, and each
+half gets the whole part of its mean of each source's slots, the rest drawn with the range as
+seed. So each source's slots sum to its number over all shards, and none is dropped. Its slots
 are numbered over the shards, and slot k reads block perm(k mod blocks), where perm is the
 pseudorandom permutation of the source's block numbers for pass k div blocks (a Feistel network
 walked until it lands inside). Slots and blocks meet in a join on (source, block), so a source
@@ -12,10 +14,9 @@ Targets: sources in code point order, null last, weigh WEIGHTS in turn and share
 all words; a source's target stops at LIMIT times its words, and what is cut off goes to the
 others by weight until none is above. No block is read more than LIMIT times.
 
-Running sums (where a document begins in its stream, where a shard's slots begin) are taken in
-two levels, within buckets and over the buckets of a source, of which there are as many as the
-square root of the rows: no task sees a whole source. The
-driver holds one row for each source.
+The running sum of where a document begins in its stream is taken in two levels, within buckets
+and over the buckets of a source, of which there are as many as the square root of the rows: no
+task sees a whole source. The driver holds one row for each source.
 
 Defined results: a null or empty text has no words, and takes none. A source without words has
 target 0. Rows that repeat an id are documents of their own. An empty table gives an empty
@@ -66,14 +67,37 @@ def targets(words: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, sh
     return out
 
 
-def draw(means: np.ndarray, slots: int, seed: int) -> np.ndarray:
-    """Counts that sum to `slots`: the whole part of each mean, and a multinomial of the rest."""
-    base = np.floor(means).astype(np.int64)
-    rest = means - base
-    left = int(slots - base.sum())
-    if left > 0 and rest.sum() > 0:
-        base += np.random.default_rng(seed).multinomial(left, rest / rest.sum())
-    return base
+def totals(means: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whole numbers that sum to the rounded sum of the means, each its mean rounded down or up, and
+    none above `most`."""
+    means = np.minimum(means, most)
+    out = np.floor(means).astype(np.int64)
+    up = np.argsort(out - means, kind="stable")[: int(round(means.sum())) - int(out.sum())]
+    out[up] += 1
+    return np.minimum(out, most)
+
+
+def split(have: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
+    """How much of each count goes to the first n of all: the whole part of each mean, and one
+    more for as many as are missing, each with the chance of its fraction. Exact, in whole numbers."""
+    total = int(have.sum())
+    share = have.astype(object) * n
+    base, rest = share // total, share % total
+    ends = np.cumsum(rest) + int(np.random.default_rng(seed).integers(total))
+    return (base + ends // total - (ends - rest) // total).astype(np.int64)
+
+
+def deal(have: np.ndarray, shard: int, shards: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the number of each source's slots in the shards before, in this shard)."""
+    lo, hi, before = 0, shards, np.zeros_like(have)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = split(have, (mid - lo) * slots, [SEED, lo, hi])
+        if shard < mid:
+            have, hi = left, mid
+        else:
+            have, before, lo = have - left, before + left, mid
+    return before, have
 
 
 def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -111,18 +135,17 @@ def _slots(spark: SparkSession, plan: list[tuple[str | None, int, int, float]],
     """(mx_shard, mx_slot, mx_of, mx_block, mx_pass): plan has (source, words, blocks, target)."""
     blocks = np.array([b for _, _, b, _ in plan], np.int64)
     mean = np.array([t * b / n if n else 0.0 for _, n, b, t in plan])
-    total = int(round(mean.sum()))
+    sums = totals(mean, limit * blocks)
+    total = int(sums.sum())
     shards = max(1, -(-total // shard_slots))
-    share = mean / mean.sum() if mean.sum() else mean
     keys = np.array([zlib.crc32(b"\x00" if s is None else b"\x01" + s.encode("utf-8", "replace")) for s, *_ in plan], np.int64)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for shard in pdf["id"].tolist():
-                n = min(shard_slots, total - shard * shard_slots)
-                got = draw(share * n, n, SEED + shard)
+                start, got = deal(sums, shard, shards, shard_slots)
                 of = np.flatnonzero(got)
-                yield pd.DataFrame({"mx_shard": np.int64(shard), "mx_of": of.astype(np.int32), "mx_first": (np.cumsum(got) - got)[of], "mx_n": got[of]})
+                yield pd.DataFrame({"mx_shard": np.int64(shard), "mx_of": of.astype(np.int32), "mx_first": (np.cumsum(got) - got)[of], "mx_n": got[of], "mx_start": start[of]})
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -132,14 +155,11 @@ def _slots(spark: SparkSession, plan: list[tuple[str | None, int, int, float]],
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 of = np.repeat(p["mx_of"].to_numpy(), n)
                 k = np.repeat(p["mx_start"].to_numpy(), n) + step
-                ok = k < limit * blocks[of]
-                of, k, step = of[ok], k[ok], step[ok]
                 turn = k // blocks[of]
                 at = permute(k % blocks[of], blocks[of], keys[of] + (turn << 33))
-                yield pd.DataFrame({"mx_shard": np.repeat(p["mx_shard"].to_numpy(), n)[ok], "mx_slot": np.repeat(p["mx_first"].to_numpy(), n)[ok] + step, "mx_of": of, "mx_block": at, "mx_pass": turn.astype(np.int32)})
+                yield pd.DataFrame({"mx_shard": np.repeat(p["mx_shard"].to_numpy(), n), "mx_slot": np.repeat(p["mx_first"].to_numpy(), n) + step, "mx_of": of, "mx_block": at, "mx_pass": turn.astype(np.int32)})
 
-    counts = spark.range(shards if total else 0).mapInPandas(count, "mx_shard long, mx_of int, mx_first long, mx_n long")
-    counts = running(counts, "mx_of", F.floor(F.col("mx_shard") / math.ceil(math.sqrt(shards))), ["mx_shard"], "mx_n", "mx_start")
+    counts = spark.range(shards if total else 0).mapInPandas(count, "mx_shard long, mx_of int, mx_first long, mx_n long, mx_start long")
     return counts.mapInPandas(spread, "mx_shard long, mx_slot long, mx_of int, mx_block long, mx_pass int")
 
 

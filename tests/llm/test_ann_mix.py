@@ -100,3 +100,12 @@ def test_mixed_texts_hold_what_is_taken(spark):
         assert set(r["text"].split()) <= set(texts[r["doc_id"]].split()) and r["n_chars"] == len(r["text"])
     assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(x for x in v if x) for k, v in taken.items() if any(v)}
     assert source_mix.mixed_texts(d.limit(0)).count() == 0
+
+
+def test_small_sources_get_all_their_slots(spark):
+    sizes = [40_000, 1, 4, 16, 3]  # blocks of 8 words
+    plan = [(f"s{i}", 8 * b, b, 8.0 * b * (2 if i else 1.4)) for i, b in enumerate(sizes)]
+    rows = source_mix._slots(spark, plan, 8, 50, 2).toPandas()
+    assert rows.groupby("mx_of").size().tolist() == [56_000, 2, 8, 32, 6]
+    assert set(rows.groupby(["mx_of", "mx_block"]).size()[1:]) <= {1, 2} and (rows[rows.mx_of > 0].groupby(["mx_of", "mx_block"]).size() == 2).all()
+    assert (rows.groupby("mx_shard").size().iloc[:-1] == 50).all() and not rows.duplicated(["mx_shard", "mx_slot"]).any()

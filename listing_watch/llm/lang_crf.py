@@ -7,7 +7,8 @@ the one with the greatest sum over its words that have a letter.
 
 The model is fitted on a bounded sample: at most LINES_PER_LANG lines for each language, of
 LINE_CHARS characters at most, from documents picked by a hash of their id. Predictions read
-whole texts, in chains of CHAIN consecutive words.
+whole texts, in chains of CHAIN consecutive words; a word over MAX_LETTERS characters, as in text
+without spaces, is cut into pieces that count as words of their own.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Without any
 labelled row to learn from, every text is `und`. Rows are predicted alone, from the text only;
@@ -48,11 +49,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def pieces(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text, those over MAX_LETTERS characters cut into consecutive pieces, and how
+    many pieces each word has."""
+    words = text.split()
+    if max(map(len, words), default=0) <= MAX_LETTERS:
+        return words, [1] * len(words)
+    cut = [[w[i : i + MAX_LETTERS] for i in range(0, len(w), MAX_LETTERS)] for w in words]
+    return list(chain.from_iterable(cut)), list(map(len, cut))
+
+
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word places, feature buckets): letter n-grams of two and three, with marks at both ends so
     that those at an end are affixes, and affixes of three letters. Words without a letter have
     none. All words together, in numpy over their code points."""
-    plain = [w.lower().strip(EDGES)[:MAX_LETTERS] for w in words]
+    plain = [w.lower().strip(EDGES) for w in words]
     at = np.array([i for i, w in enumerate(plain) if w.isalpha() or any(map(str.isalpha, w))], np.int64)
     if not len(at):
         return at, at
@@ -125,12 +136,15 @@ class Model:
         words = (text or "").split()
         if not words:
             return []
-        m, real = self.probabilities(words, cuts(len(words)))
+        items, sizes = pieces(text)
+        m, real = self.probabilities(items, cuts(len(items)))
+        start = np.cumsum([0, *sizes[:-1]])
+        m, real = np.add.reduceat(m * real[:, None], start), np.logical_or.reduceat(real, start)
         return [(w, self.langs[k] if r else NONE) for w, k, r in zip(words, m.argmax(axis=1), real)]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """The language of each text, and its share of the words' probability."""
-        cut = [t.split() for t in texts]
+        cut = [pieces(t)[0] for t in texts]
         words = list(chain.from_iterable(cut))
         if not words:
             return [(NONE, 0.0)] * len(texts)
@@ -154,7 +168,7 @@ def fit(lines: list[tuple[str, str]], rounds: int = 30) -> Model | None:
     if not langs:
         return None
     number = {a: i for i, a in enumerate(langs)}
-    seen = Counter((w, a) for a, t in lines for w in set(t.split()))
+    seen = Counter((w, a) for a, t in lines for w in set(pieces(t)[0]))
     total = Counter()
     for (w, _), n in seen.items():
         total[w] += n
@@ -163,7 +177,7 @@ def fit(lines: list[tuple[str, str]], rounds: int = 30) -> Model | None:
     chains: list[list[str]] = []
     labels: list[int] = []
     for i, (a, t) in enumerate(lines):
-        words = t.split()[:CHAIN]
+        words = pieces(t)[0][:CHAIN]
         if i % 3 == 0 and chains:  # a chain that switches
             chains[-1] = chains[-1] + words
         else:

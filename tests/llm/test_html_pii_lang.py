@@ -138,3 +138,13 @@ def test_learn_and_predict_rows(spark):
     assert sum(by[i] == g for i, (g, _) in enumerate(lines(3))) > 290
     assert lang_crf.learn_and_predict(d.limit(0)).count() == 0
     assert {r["lc_lang"] for r in lang_crf.learn_and_predict(d.withColumn("lang", d.lang.substr(9, 1)).filter("lang is null")).collect()} <= {"und"}
+
+
+def test_long_words_are_read_whole():
+    a, b = "的一是在不了有和人这中大为上个国我以要他", "のはをにがでとれさあいうえおかきくけこす"
+    r = random.Random(8)
+    text = lambda s, n: "".join(r.choice(s) for _ in range(n))
+    m = lang_crf.fit([("zh", text(a, 200)) for _ in range(40)] + [("ja", text(b, 200)) for _ in range(40)])
+    assert [x for x, _ in m.predict([text(b, 40) + text(a, 400), text(a, 40) + text(b, 400), "7" * 50 + text(a, 30), "7" * 90])] == ["zh", "ja", "zh", "und"]
+    got = m.label_words("7" * 50 + text(b, 30) + " 55 " + text(a, 100))
+    assert [k for _, k in got] == ["ja", "und", "zh"] and len(got[2][0]) == 100

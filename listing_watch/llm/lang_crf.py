@@ -5,8 +5,9 @@ mostly seen in; transition scores are learned from training chains of which some
 language half-way. Forward-backward gives each word's label probabilities; a text's language is
 the one with the greatest sum over its words that have a letter.
 
-The model is fitted on a bounded sample: at most LINES_PER_LANG lines for each language, of
-LINE_CHARS characters at most, from documents picked by a hash of their id. Predictions read
+The model is fitted on a bounded sample: at most LINES_PER_LANG lines for each language, from
+documents picked by a hash of their id. Lines over LINE_CHARS characters are cut, at white space
+where there is any; lines under LEAST_CHARS serve only languages that have no others. Predictions read
 whole texts, in chains of CHAIN consecutive words; a word over MAX_LETTERS characters, as in text
 without spaces, is cut into pieces that count as words of their own.
 
@@ -35,11 +36,13 @@ from .common import groups
 LINES_PER_LANG = 640
 DOCS_PER_LANG = 400
 LINE_CHARS = 2000
+LEAST_CHARS = 20
 BUCKETS = 1 << 15
 CHAIN = 256
 SALTS = 32
 CACHE_WORDS = 300_000
 NONE = "und"
+LETTER = r"\p{L}"
 EDGES = ".,;:!?\"'()[]{}|*#$%&<>"
 MAX_LETTERS = 40
 
@@ -195,16 +198,21 @@ def fit(lines: list[tuple[str, str]], rounds: int = 30) -> Model | None:
 
 def sample_lines(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> list[tuple[str, str]]:
     """The bounded training sample, from rows with a language that are not held out."""
-    rows = docs.select(F.col(id_col).alias("lc_id"), F.col(lang_col).alias("lc_lang"), F.col(text_col).alias("lc_text")).filter(F.col("lc_lang").isNotNull() & ~held_out(F.col("lc_id")))
+    rows = docs.select(F.col(id_col).alias("lc_id"), F.col(lang_col).alias("lc_lang"), F.col(text_col).alias("lc_text")).filter(F.col("lc_lang").isNotNull() & ~held_out(F.col("lc_id")) & F.col("lc_text").rlike(LETTER))
     sizes = {r["lc_lang"]: r["n"] for r in rows.groupBy("lc_lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return []
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, DOCS_PER_LANG / n))])
     picked = rows.filter(F.pmod(F.xxhash64(F.col("lc_id").cast("string")), F.lit(1_000_000)) < share[F.col("lc_lang")] * 1_000_000)
-    lines = picked.select("lc_lang", F.explode(F.filter(F.split("lc_text", "\n"), lambda x: (F.length(x) <= LINE_CHARS) & (F.length(x) >= 20))).alias("lc_line")).distinct()
-    order = Window.partitionBy("lc_lang", F.pmod(F.xxhash64("lc_line"), F.lit(SALTS))).orderBy(F.xxhash64("lc_line", F.lit(1)), "lc_line")
+    # up to the last white space in reach, or so much of a word that has none
+    parts = F.lit(rf"(?s)(\S(?:.{{0,{LINE_CHARS - 2}}}\S)?(?!\S)|\S{{1,{LINE_CHARS}}})")
+    cut = F.flatten(F.transform(F.split("lc_text", "\n"), lambda x: F.when(F.length(x) <= LINE_CHARS, F.array(x)).otherwise(F.regexp_extract_all(x, parts, 1))))
+    lines = picked.select("lc_lang", F.explode(F.filter(cut, lambda x: x.rlike(LETTER))).alias("lc_line")).distinct()
+    order = Window.partitionBy("lc_lang", F.pmod(F.xxhash64("lc_line"), F.lit(SALTS))).orderBy(F.length("lc_line") < LEAST_CHARS, F.xxhash64("lc_line", F.lit(1)), "lc_line")
     least = lines.withColumn("lc_rank", F.row_number().over(order)).filter(F.col("lc_rank") <= max(1, LINES_PER_LANG // SALTS))
-    return [(r["lc_lang"], r["lc_line"]) for r in least.select("lc_lang", "lc_line").collect()]
+    got = [(r["lc_lang"], r["lc_line"]) for r in least.select("lc_lang", "lc_line").collect()]
+    long = {a for a, x in got if len(x) >= LEAST_CHARS}
+    return [(a, x) for a, x in got if len(x) >= LEAST_CHARS or a not in long]
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -148,3 +148,16 @@ def test_long_words_are_read_whole():
     assert [x for x, _ in m.predict([text(b, 40) + text(a, 400), text(a, 40) + text(b, 400), "7" * 50 + text(a, 30), "7" * 90])] == ["zh", "ja", "zh", "und"]
     got = m.label_words("7" * 50 + text(b, 30) + " 55 " + text(a, 100))
     assert [k for _, k in got] == ["ja", "und", "zh"] and len(got[2][0]) == 100
+
+
+def test_long_and_short_lines_are_learned(spark):
+    r = random.Random(9)
+    words = {"aa": ["lopa", "mirat", "sodel"], "bb": ["quexi", "zwov", "kjuh"], "cc": ["的一是", "在不了", "有和人"], "dd": ["þæð", "ðøþ"]}
+    line = {"aa": lambda: " ".join(r.choices(words["aa"], k=900)), "bb": lambda: " ".join(r.choices(words["bb"], k=900)), "cc": lambda: "".join(r.choices(words["cc"], k=1500)), "dd": lambda: " ".join(r.choices(words["dd"], k=2)) + "\n" + "7" * 30}
+    rows = [(i, line[k](), k) for i, k in enumerate(["aa", "bb", "cc", "dd"] * 20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lang_crf.sample_lines(d, "text", "lang", "doc_id")
+    assert {a for a, _ in got} == set(words) and all(0 < len(x) <= lang_crf.LINE_CHARS for _, x in got)
+    assert all(w in words[a] for a, x in got if a in ("aa", "bb") for w in x.split())
+    by = {x["doc_id"]: x["lc_lang"] for x in lang_crf.learn_and_predict(d).collect()}
+    assert all(by[i] == k for i, _, k in rows)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import groups
+from .common import groups, packed, unpacked
 
 #: Fixed value: the published pre-split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -263,18 +263,19 @@ def round_trip(docs: DataFrame, vocab: str, text_col: str = "text", keep: list[s
 
     Null is the empty text, which has no tokens. Each row is encoded alone, whole."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("bpe_text"))
     made = [T.StructField("bpe_n", T.LongType()), T.StructField("bpe_ids_sha256", T.StringType()), T.StructField("bpe_decoded_sha256", T.StringType())]
     if with_text:
         made += [T.StructField("bpe_ids", T.ArrayType(T.IntegerType())), T.StructField("bpe_decoded", T.StringType())]
-    schema = T.StructType([*[src.schema[c] for c in keep], *made])
+    names = [f.name for f in made]
+    src = packed(docs, keep, names, text=F.col(f"`{text_col}`"))
+    schema = T.StructType([src.schema["row"], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(vocab)
         labels, numbers = code.a.labels, [b"%d" % i for i in range(len(code.a.labels))]
         sha = hashlib.sha256
-        for b in groups(batches, len(keep)):
-            texts = [x or "" for x in b.column(len(keep)).to_pylist()]
+        for b in groups(batches, 1):
+            texts = [x or "" for x in b.column(1).to_pylist()]
             rows: list[list] = [[] for _ in made]
             for words in code.encode_batch(texts):
                 ids = [i for w in words for i in w]
@@ -288,6 +289,6 @@ def round_trip(docs: DataFrame, vocab: str, text_col: str = "text", keep: list[s
                 for at, x in zip(rows, got):
                     at.append(x)
             cols = [pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["row", *names])
 
-    return src.mapInArrow(run, schema)
+    return unpacked(src.mapInArrow(run, schema), *names)

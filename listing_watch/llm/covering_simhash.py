@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import packed, stored, unpacked
 
 BITS = 64
 RADIUS = 2
@@ -60,16 +60,15 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all but the text by default) and `sh_fp` (long)."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("sh_text"))
-    schema = T.StructType([*[src.schema[c] for c in keep], T.StructField("sh_fp", T.LongType())])
+    src = packed(docs, keep, ["sh_fp"], text=F.col(f"`{text_col}`"))
+    schema = T.StructType([src.schema["row"], T.StructField("sh_fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.num_columns - 1)
-            fps = pa.array([fingerprint(x.as_py()) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], fps], names=[*keep, "sh_fp"])
+            fps = pa.array([fingerprint(x.as_py()) for x in b.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["row", "sh_fp"])
 
-    return src.mapInArrow(run, schema)
+    return unpacked(src.mapInArrow(run, schema), "sh_fp")
 
 
 def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:

@@ -1,23 +1,30 @@
 """Main text of web pages: flat blocks, classified by a decision tree.
 
-A page is cut into blocks at block-level tags. A block has its words and how many of them stand
-in links, with the same of its neighbours, and what encloses it: sectioning tags and the words of
-class, id and role attributes. A CART tree, trained from the small labelled table `LABELLED`,
-tells main text from the rest; the text of the kept blocks, in page order, is the result.
-
-The tree sees these measures only, so pages are judged alike at any size. Scripts, styles,
-templates and comments are never text; character references are decoded, white space inside a
-block becomes one space.
+A page is cut into blocks at block-level tags, in one pass whose time grows with the page's
+length alone. A block is measured by its words and the share of them in links, by the same of the
+blocks before and after it and of all blocks in its box (the nearest enclosing element that holds
+others) beside the page's largest, and by where it stands: in a heading, among sectioning tags, before or after the first
+h1, after a heading that opens reader comments, and what the class, id and role tokens around it
+say. A token counts only if it is made of known words alone (`cookie-banner`, not `has-sidebar`),
+and says nothing of an element that holds the article. A CART tree, grown from the small labelled
+table `LABELLED`, tells main text from the rest; the text of the kept blocks, in page order, is
+the result. Pages are judged alike at any size.
+
+Scripts, styles, templates, comments and hidden elements are never text; character references
+are decoded, white space inside a block becomes one space.
 
 Defined results: a null or empty page, and one whose blocks are all rejected, has the empty text.
-Unclosed and crossing tags end with the element that holds them. Rows are judged alone, so
-repeated rows give repeated results. Columns made here start with `hb_`.
+Unclosed and crossing tags end with the element that holds them; what follows an unclosed script,
+comment or tag is not text. Rows are judged alone, so repeated rows give repeated results. An
+empty table gives an empty result. Columns of the input are carried along, whatever their names;
+those made here start with `hb_`, and an input column of the same name gives way.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -28,35 +35,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import groups
+from .common import groups, packed, unpacked
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|select|textarea|head|title)\b[^>]*>.*?</\1\s*>"
-    r"|<(?:script|style)\b.*\Z"
-    r"|<![^>]*>|<\?[^>]*>"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
 SPACE = re.compile(r"\s+")
-ATTRIBUTES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none", re.I)
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Tags that hold page furniture, and those that hold the article.
-BOILER_TAGS = frozenset("nav aside footer form menu dialog button fieldset".split())
-MAIN_TAGS = frozenset("article main".split())
-#: Words of class, id, role and label attributes that name page furniture, and main text.
-BOILER_WORDS = frozenset(
-    "ad ads advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar side aside footer foot breadcrumb breadcrumbs cookie cookies consent gdpr notice"
-    " popup modal overlay comment comments disqus discussion reply replies respond share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar pagination pager"
-    " tags copyright legal disclaimer skip masthead complementary contentinfo alert dialog form".split()
+#: Elements whose content is no markup, and those whose content is not shown.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")}
+UNSEEN = frozenset("head noscript template svg math object select datalist canvas audio video".split())
+HEAD = frozenset("meta link base title style script noscript template".split())
+#: Tags that hold page furniture, those that hold the article, and those that hold no blocks.
+FURNITURE = frozenset("nav aside footer form menu dialog button fieldset".split())
+ARTICLE = frozenset("article main".split())
+LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd tr tbody thead pre figcaption caption blockquote".split())
+#: Words of class, id and role tokens that name page furniture, the article, or a box of any kind.
+FURNITURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu sidebar aside footer breadcrumb breadcrumbs cookie cookies consent gdpr notice popup modal overlay comment comments"
+    " disqus discussion reply replies respond responses share sharing social related recommended newsletter subscribe signup login search widget widgets toolbar pagination pager copyright disclaimer masthead complementary contentinfo".split()
 )
-MAIN_WORDS = frozenset("article content main post story entry body text".split())
+ARTICLE_WORDS = frozenset("article content main post story entry body text".split())
+BOX_WORDS = frozenset("box wrap wrapper container block section area list link links item items top bottom left right site page global primary secondary inner outer bar panel unit slot row col column group inline thread form field".split())
 PART = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+REPLIES = re.compile(r"\W*(\d+\s+|leave a |post a |write a )?(comments?|responses?|repl(y|ies)|discussion|kommentare?|commentaires?|comentarios?|réactions?)\b", re.I)
+RIGHTS = re.compile(r"\s*(©|\(c\)|copyright\b)|.*\b(all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)\b", re.I)
 
-MEASURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "boiler", "main", "header", "heading", "inside_main_after_boiler", "any_main")
+MEASURES = (
+    "words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "box_words", "box_link_density", "box_share",
+    "heading", "place", "article", "any_article", "header", "furniture", "hint", "replies", "rights",
+)
 
 
 @dataclass
@@ -64,118 +76,191 @@ class Block:
     text: str
     words: int
     linked: int
-    boiler: int  # enclosing furniture
-    main: int  # enclosing article or main
+    box: int
+    heading: int  # level, 0 for none
+    place: int  # before (-1) or from (1) the first h1; 0 where there is none
+    article: int
     header: int
-    heading: int
-    deep: int  # furniture that stands inside the article
+    furniture: int  # enclosing furniture tags; those inside an article count double
+    hints: tuple[int, ...]  # places of the elements whose tokens speak of furniture (positive) or article
+    replies: int
+    rights: int
 
 
 @dataclass
 class _Open:
     tag: str
-    boiler: int
-    main: int
+    box: int
+    article: int
     header: int
-    deep: int
-    hidden: bool = False
+    furniture: int
+    hints: tuple[int, ...]
+    unseen: bool
+    replies: bool = False  # a heading that opens comments has come in this element
+
+
+def token_hint(value: str) -> int:
+    """1 if a class, id or role names page furniture, -1 if it names the article, else 0."""
+    good = False
+    for token in value.split():
+        parts = [p.lower() for p in PART.findall(CAMEL.sub(" ", token))]
+        if not parts or not all(p in FURNITURE_WORDS or p in ARTICLE_WORDS or p in BOX_WORDS for p in parts):
+            continue
+        if any(p in FURNITURE_WORDS for p in parts):
+            return 1
+        good = good or any(p in ARTICLE_WORDS for p in parts)
+    return -1 if good else 0
 
 
 @dataclass
 class _Parser:
     blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", 0, 0, 0, 0)])
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", 0, 0, 0, 0, (), False)])
+    count: Counter = field(default_factory=Counter)
+    void_hints: set[int] = field(default_factory=set)
     parts: list[str] = field(default_factory=list)
-    links: int = 0
+    link: bool = False
     linked: int = 0
-    heading: int = 0
+    boxes: int = 0
+    hinted: int = 0
+    place: int = 0
 
     def text(self, raw: str) -> None:
-        if not raw or self.stack[-1].hidden:
+        if not raw or self.stack[-1].unseen:
             return
         t = html.unescape(raw) if "&" in raw else raw
         self.parts.append(t)
-        if self.links:
+        if self.link:
             self.linked += len(t.split())
 
     def end_block(self) -> None:
         if not self.parts:
             return
         t = SPACE.sub(" ", "".join(self.parts)).strip()
-        if t:
-            at = self.stack[-1]
-            n = t.count(" ") + 1
-            self.blocks.append(Block(t, n, min(self.linked, n), at.boiler, at.main, at.header, self.heading, at.deep))
-        self.parts, self.linked = [], 0
+        linked, self.parts, self.linked = self.linked, [], 0
+        if not t:
+            return
+        at = self.stack[-1]
+        level = int(at.tag[1]) if len(at.tag) == 2 and at.tag[0] == "h" and at.tag[1].isdigit() else 0
+        n = t.count(" ") + 1
+        if level and n <= 8 and REPLIES.match(t) and len(self.stack) > 1:
+            self.stack[-2].replies = True
+        replies = any(s.replies for s in self.stack[-8:])
+        self.blocks.append(Block(t, n, min(linked, n), at.box, level, self.place, at.article, at.header, at.furniture, at.hints, int(replies), int(n <= 40 and bool(RIGHTS.match(t)))))
+
+    def push(self, tag: str, attributes: str) -> None:
+        up = self.stack[-1]
+        box, hints = up.box, up.hints
+        if tag not in LEAVES:
+            self.boxes += 1
+            box = self.boxes
+        article = tag in ARTICLE
+        if article:  # what holds the article is no furniture
+            self.void_hints.update(hints)
+            hints = tuple(h for h in hints if h < 0)
+        elif attributes and tag not in ("html", "body"):
+            found = [token_hint(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)]
+            if any(found):
+                self.hinted += 1
+                hints = (*hints[-15:], self.hinted if 1 in found else -self.hinted)
+        furniture = up.furniture + (tag in FURNITURE) * (2 if up.article else 1)
+        unseen = up.unseen or tag in UNSEEN or bool(attributes and HIDDEN.search(attributes) and "overflow" not in attributes)
+        self.stack.append(_Open(tag, box, up.article or int(article), up.header or int(tag == "header"), min(furniture, 4), hints, unseen))
+        self.count[tag] += 1
+
+    def pop(self) -> None:
+        self.end_block()
+        self.count[self.stack.pop().tag] -= 1
 
     def open(self, tag: str, attributes: str) -> None:
         if tag == "a":
-            self.links = 1
+            self.link = True
+        if tag == "br":
+            self.text(" ")
+        if tag in INLINE or tag == "br":
             return
-        if tag == "br" or tag not in INLINE:
-            self.end_block()
-        if tag in VOID or (tag in INLINE and "class" not in attributes and "hidden" not in attributes):
+        self.end_block()
+        if self.stack[-1].tag == "head" and tag not in HEAD:
+            self.pop()
+        if tag in VOID:
             return
-        if tag == "p":  # an open paragraph ends where the next begins
-            self.close("p", implied=True)
-        elif tag == "li":
-            self.close("li", implied=True)
-        words: set[str] = set()
-        for m in ATTRIBUTES.finditer(attributes):
-            words.update(w.lower() for w in PART.findall(CAMEL.sub(" ", m[1] or m[2] or m[3] or "")))
-        up = self.stack[-1]
-        boiler = tag in BOILER_TAGS or bool(words & BOILER_WORDS and not (tag in MAIN_TAGS or tag in ("body", "html")))
-        hidden = up.hidden or bool(re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I)) and "overflow" not in attributes
-        main = tag in MAIN_TAGS or bool(words & MAIN_WORDS) and not boiler
-        self.stack.append(_Open(tag, up.boiler or int(boiler), up.main or int(main), up.header or int(tag == "header"), up.deep or int(boiler and up.main > 0), hidden))
-        if re.fullmatch("h[1-6]", tag):
-            self.heading = 1
-
-    def close(self, tag: str, implied: bool = False) -> None:
+        if self.stack[-1].tag == "p":  # an open paragraph ends where the next block begins
+            self.pop()
+        while tag in ("li", "td", "th", "tr", "dt", "dd", "option") and self.stack[-1].tag in ("li", "td", "th", "dt", "dd", "p") and not (tag == "tr" and self.stack[-1].tag == "li"):
+            self.pop()
+        self.link = False
+        if tag == "h1" and not self.stack[-1].unseen and self.place == 0:
+            self.place = 1
+            for b in self.blocks:
+                b.place = -1
+        self.push(tag, attributes)
+
+    def close(self, tag: str) -> None:
         if tag == "a":
-            self.links = 0
+            self.link = False
+        if tag in INLINE:
+            return
+        self.end_block()
+        self.link = False
+        if tag in VOID or self.count[tag] <= 0:
             return
-        if tag not in INLINE and not implied:
-            self.end_block()
-        for i in range(len(self.stack) - 1, 0, -1):
-            t = self.stack[i].tag
-            if t == tag:
-                self.end_block() if tag not in INLINE else None
-                del self.stack[i:]
-                break
-            # an implied end stays inside its container; a stray end tag closes no section
-            if implied and t not in INLINE and t not in ("b", "p", "li"):
-                break
-            if tag in INLINE and t not in INLINE:
-                break
-        if re.fullmatch("h[1-6]", tag):
-            self.heading = 0
-        if tag not in INLINE:
-            self.links = 0
+        while self.stack[-1].tag != tag:
+            self.pop()
+        self.pop()
 
 
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page, in order."""
-    p, at = _Parser(), 0
-    page = page or ""
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            p.text(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1] and m[1].lower() not in ("svg", "math"):
-                p.end_block()
+    p, page, at = _Parser(), page or "", 0
+    no_more: set[str] = set()  # quotes that don't come again
+    while (i := page.find("<", at)) >= 0:
+        p.text(page[at:i])
+        at = i
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        closing = page.startswith("</", i)
+        m = NAME.match(page, i + 1 + closing)
+        if not m:
+            if closing or page.startswith(("<!", "<?"), i):
+                end = page.find(">", i)
+                at = end + 1 if end >= 0 else len(page)
+            else:  # a lone sign
+                p.text("<")
+                at = i + 1
             continue
-        tag = tag.lower()
-        if m[2]:
+        tag, end = m[0].lower(), m.end()
+        while (stop := STOP.search(page, end)) and stop[0] != ">":
+            quote, after = stop[0], -1
+            k = stop.start() - 1
+            while k >= end and page[k].isspace():
+                k -= 1
+            if quote not in no_more and page[k] == "=":
+                after = page.find(quote, stop.end())
+                if after < 0:
+                    no_more.add(quote)
+            end = after + 1 if after >= 0 else stop.end()
+        if not stop:
+            at = len(page)
+            break
+        attributes, at = page[m.end() : stop.start()], stop.end()
+        if closing:
             p.close(tag)
+        elif tag in RAW:
+            end = RAW[tag].search(page, at)
+            if tag == "textarea" or not end:
+                p.end_block()
+            gone = page.find(">", end.end()) if end else -1
+            at = gone + 1 if gone >= 0 else len(page)
         else:
-            p.open(tag, m[4] or "")
-            if (m[4] or "").endswith("/") and tag not in VOID and tag not in INLINE:
+            p.open(tag, attributes)
+            if attributes.endswith("/") and tag not in VOID and tag not in INLINE and tag in UNSEEN:
                 p.close(tag)
     p.text(page[at:])
     p.end_block()
+    for b in p.blocks:
+        b.hints = tuple(h for h in b.hints if h not in p.void_hints)
     return p.blocks
 
 
@@ -184,43 +269,76 @@ def measures(page: list[Block]) -> np.ndarray:
     if not page:
         return np.zeros((0, len(MEASURES)))
     words = np.array([b.words for b in page], float)
-    density = np.array([b.linked for b in page]) / words
+    linked = np.array([b.linked for b in page], float)
+    box = np.array([b.box for b in page])
+    box_words, box_linked = np.bincount(box, words)[box], np.bincount(box, linked)[box]
+    density = linked / words
     before = lambda x: np.concatenate([[0.0], x[:-1]])
     after = lambda x: np.concatenate([x[1:], [0.0]])
-    flags = np.array([[b.boiler, b.main, b.header, b.heading, b.deep] for b in page], float)
-    any_main = np.full(len(page), float(flags[:, 1].any()))
-    return np.column_stack([words, density, before(words), before(density), after(words), after(density), flags[:, 0], flags[:, 1], flags[:, 2], flags[:, 3], flags[:, 4], any_main])
+    hint = [sum(1 if h > 0 else -0.25 for h in b.hints) for b in page]
+    flags = np.array([[b.heading, b.place, b.article, 0, b.header, b.furniture, h, b.replies, b.rights] for b, h in zip(page, hint)], float)
+    flags[:, 3] = float(flags[:, 2].any())
+    return np.column_stack([words, density, before(words), before(density), after(words), after(density), box_words, box_linked / box_words, box_words / box_words.max(), flags])
 
 
-_LONG = "This is a longer paragraph of running text that tells a part of the story in whole sentences and has no links at all in it, as articles mostly do."
-_MID = "A sentence of some ten words that stands by itself here."
-#: The labelled table: pages whose blocks are marked main text by <x-1>, the rest by <x-0>.
+#: The labelled table: pages whose blocks begin with ① (main text) or ⓪ (the rest). %s, %m and %l
+#: stand for a few words, a sentence and a paragraph; each page comes in LENGTHS lengths of them.
 LABELLED = [
-    f"<nav><ul><li><a href=/a><x-0>Home</a><li><a href=/b><x-0>News of the day</a></ul></nav><article><h1><x-1>A heading of the page</h1><p><x-1>{_LONG}<p><x-1>{_MID}<p><x-1>Short.</article><footer><x-0>Some owner and some rights and a line</footer>",
-    f"<header><x-0>The site and its claim</header><div class=ad><x-0>{_MID}</div><main><h1><x-1>Heading</h1><p><x-1>{_MID}</p><p><x-1>{_LONG}</p></main><aside><h3><x-0>More</h3><p><x-0>{_MID}</p></aside><footer><p><x-0>{_MID}</p></footer>",
-    f"<div class=cookie-notice><p><x-0>We use small files to make the site work. {_MID}</p><button><x-0>Accept</button></div><article><header><h1><x-1>A title that says something</h1></header><p><x-1>{_LONG}</p><ul><li><x-1>first point of a list</li><li><x-1>second point</li></ul></article><div id=comments><h2><x-0>Comments</h2><p><x-0>{_LONG}</p><p><x-0>{_MID}</p></div>",
-    f"<div id=menu><a href=/a><x-0>One</a><br><a href=/b><x-0>Two</a></div><div><p><x-1>{_LONG}</p><p><x-1>{_LONG}</p><p><x-1>{_MID}</p></div><div><a href=/c><x-0>previous page</a> <a href=/d>next page</a></div><div><x-0>All of it is ours.</div>",
-    f"<article><h1><x-1>Title</h1><div class=share><x-0>Send it to a friend</div><p><x-1>{_LONG}</p><aside class=promo><x-0>{_LONG}</aside><p><x-1>{_MID}</p><form><x-0>Your name and your address</form><section class=comments><p><x-0>{_LONG}</p></section></article>",
-    f"<ul><li><a href=/1><x-0>first entry</a></li><li><a href=/2><x-0>second entry here</a></li><li><a href=/3><x-0>third</a></li></ul><h1><x-1>The heading</h1><p><x-1>{_LONG} <a href=/l>with a link</a></p><p><x-1>{_LONG}</p><p><a href=/r><x-0>Read another story of ours today</a></p><p><x-0>Contact</p>",
-    f"<header class=site><nav><a href=/><x-0>Start</a></nav><form><x-0>Search the site</form></header><main><article><p><x-1>{_MID}</p><p><x-1><a href=/x>A paragraph that is a link from end to end and still belongs</a></p><blockquote><x-1>{_MID}</blockquote><table><tr><td><x-1>12</td><td><x-1>34</td></tr></table></article></main><div class=sidebar><p><x-0>{_LONG}</p></div>",
-    f"<div class=banner><p><x-0>{_LONG}</p></div><div class=content><h2><x-1>Part one</h2><p><x-1>{_LONG}</p><h2><x-1>Part two</h2><p><x-1>{_MID}</p></div><div class=newsletter><x-0>Get one letter a week with the best of our stories for you</div>",
-    f"<main><p><x-1>{_MID}</p></main><div class=footer-links><a href=/q><x-0>Terms</a> <a href=/w>Privacy</a></div><div><x-0>{_MID}</div>",
-    f"<div><x-0>{_LONG}</div><article><p><x-1>One.</p><p><x-1>{_LONG}</p></article><p><x-0>{_MID}</p>",
-    f"<header><h1><x-0>The name of this site</h1><p><x-0>{_MID}</p></header><article><header><x-1>A title inside its article</header><p><x-1>{_LONG}</p></article>",
-    f"<nav><a href=/><x-0>Start</a></nav><h1><x-1>Heading of it</h1><p><x-1>{_LONG}</p><p><x-1>{_LONG}</p><div class=comments><p><x-0>{_LONG}</p><p><x-0>{_MID}</p><p><x-0>{_LONG}</p></div><aside><p><x-0>{_LONG}</p></aside><footer><p><x-0>{_LONG}</p></footer>",
-    f"<div class=cookies><x-0>{_LONG}</div><p><x-1>{_LONG}</p><p><x-1>{_MID}</p><ul><li><a href=/z><x-0>A link whose words are as many as those of a short sentence are</a></li><li><a href=/y><x-0>Yet another one that leads to some other page with a long name</a></li></ul><form><x-0>{_LONG}</form>",
+    "<nav><ul><li><a href=/a>⓪%s</a><li><a href=/b>⓪%s</a></ul></nav><article><h1>①%s</h1><p>①%l<p>①%m<p>①%s</article><footer>⓪%m</footer>",
+    "<div class=top><a href=/a>⓪%s</a> <a href=/b>%s</a></div><div><h1>①%s</h1><p>①%l</p><p>①%s</p><p>①%l</p></div><div>⓪%s</div>",
+    "<header>⓪%m</header><div class=ad>⓪%l</div><main><h1>①%s</h1><p>①%m</p><p>①%l</p></main><aside><h3>⓪%s</h3><p>⓪%l</p></aside><footer><p>⓪%m</p></footer>",
+    "<div class=cookie-notice><p>⓪%l</p><button>⓪%s</button></div><article><header><h1>①%s</h1></header><p>①%l</p><ul><li>①%s</li><li>①%s</li></ul></article><div id=comments><h2>⓪Comments</h2><p>⓪%l</p><p>⓪%m</p></div>",
+    "<ul><li><a href=/a>⓪%s</a><li><a href=/b>⓪%s</a><li><a href=/c>⓪%s</a></ul><div><p>①%l</p><p>①%l</p><p>①%m</p></div><div><a href=/c>⓪%s</a> <a href=/d>%s</a></div><div>⓪© 2020 %s</div>",
+    "<article><h1>①%s</h1><div class=share>⓪%s</div><p>①%l</p><aside class=promo>⓪%l</aside><p>①%m</p><form>⓪%m</form><section class=comments><h3>⓪2 comments</h3><p>⓪%l</p></section></article>",
+    "<div>⓪<a href=/1>%s</a> | <a href=/2>%s</a> | <a href=/3>%s</a></div><h1>①%s</h1><p>①%l <a href=/l>%s</a></p><p>①%l</p><p><a href=/r>⓪%m</a></p><p>⓪%s</p>",
+    "<header class=site><nav><a href=/>⓪%s</a></nav><form>⓪%s</form></header><main><article><p>①%m</p><p>①%m <a href=/x>%s</a></p><blockquote>①%m</blockquote><table><tr><td>①%s</td><td>①%s</td></tr></table></article></main><div class=sidebar><p>⓪%l</p></div>",
+    "<div class=banner><p>⓪%l</p></div><div class=content><h2>①%s</h2><p>①%l</p><h2>①%s</h2><p>①%m</p></div><div class=newsletter>⓪%m</div>",
+    "<div class=page><h1>①%s</h1><p>①%m</p><p>①%l</p></div><div class=footer-links><a href=/q>⓪%s</a> <a href=/w>%s</a></div>",
+    "<div>⓪%l</div><article><p>①%s</p><p>①%l</p></article><p>⓪%m</p>",
+    "<header><h1>⓪%s</h1><p>⓪%m</p></header><article><header>①%s</header><p>①%l</p></article>",
+    "<div><p>①%l</p><p>①%l</p></div><div><h3>⓪3 responses</h3><div>⓪%m</div><div>⓪%l</div><div>⓪%s</div></div>",
+    "<h1>①%s</h1><p>①%l</p><p>①%l</p><div class=comments><p>⓪%l</p><p>⓪%m</p><p>⓪%l</p></div><aside><p>⓪%l</p></aside><footer><p>⓪%l</p></footer>",
+    "<div class=cookies>⓪%l</div><p>①%l</p><p>①%m</p><ul><li><a href=/z>⓪%m</a></li><li><a href=/y>⓪%m</a></li></ul><form>⓪%l</form>",
+    "<p>①%l</p>",
+    "<div><p>①%s</p><p>①%l</p></div>",
+    "<body><div><div><p>①%m</p><p>①%m</p><p>①%m</p><p>①%s</p></div></div></body>",
+    "<table><tr><td><a href=/a>⓪%s</a><br><a href=/b>%s</a><br><a href=/c>%s</a></td><td><h2>①%s</h2><p>①%l</p><p>①%m</p></td></tr></table><p>⓪Copyright %s</p>",
+    "<div><a href=/>⓪%s</a></div><div><h1>①%s</h1><h2>①%s</h2><p>①%l</p><h2>①%s</h2><ol><li>①%m</li><li>①%m</li></ol></div><div><h4>⓪%s</h4><ul><li><a href=/1>⓪%m</a></li><li><a href=/2>⓪%m</a></li></ul></div>",
+    "<nav><a href=/>⓪%s</a></nav><div class=ad>⓪%m</div><article><h1>①%s</h1><p>①<b>%s</b><br><p>①%l</p><p>①%s</p></article><footer>⓪&copy; %s</footer>",
+    "<nav><p>⓪%l</p></nav><article><h1>①%s</h1><p>①%s</p></article><aside>⓪%l</aside>",
+    "<div role=navigation><a href=/1>⓪%s</a><a href=/2>%s</a></div><div role=main><p>①%l</p><div>①%m</div></div><div role=contentinfo>⓪%m</div>",
+    "<section><h1>①%s</h1><p>①%l</p><p>①%l</p></section><section><h2>⓪%s</h2><p><a href=/1>⓪%m</a></p><p><a href=/2>⓪%m</a></p></section>",
+    "<main><h1>①%s</h1><p>①%l</p><ul><li><a href=/1>①%m</a> ①%l</li></ul><h2>⓪Leave a reply</h2><form>⓪%s</form><p>⓪%m</p></main>",
+    "<div><div>①%l</div><div>①%m</div><div>①%l</div><div>①%l</div><div>①%m</div></div><div><a href=/n>⓪%s</a></div>",
+    "<h1>①%s</h1><section><h2>①%s</h2><p>①%l</p><p>①%s</p></section><section><h2>①%s</h2><p>①%m</p></section><section><h2>①%s</h2><p>①%l</p></section><div>⓪%s</div>",
+    "<div class=header><a href=/>⓪%s</a> <a href=/b>%s</a></div><div class=post><p>①%l</p><p>①%s</p></div><div class=related-posts><p>⓪%m</p></div><div class=ad-slot><p>⓪%l</p></div>",
 ]
-_MARK = re.compile(r"<x-([01])>")
+LENGTHS = 6
+_SAY = "this is how a page goes on about things that people read in whole sentences when they look for news of towns and rivers or of what was said there before".split()
+_MARK = re.compile("[①⓪]")
+
+
+def _filled(page: str, size: int) -> str:
+    k = 0
+
+    def say(m: re.Match) -> str:
+        nonlocal k
+        k += 1
+        n = {"s": 1 + (k + 2 * size) % 6, "m": 9 + (3 * k + 4 * size) % 12, "l": 20 + (7 * k + 13 * size) % 67}[m[1]]
+        return " ".join(_SAY[(5 * k + i) % len(_SAY)] for i in range(n)) + ("." if m[1] != "s" or k % 2 else "")
+
+    return re.sub("%([sml])", say, page)
 
 
 def labelled_rows(pages: list[str] = LABELLED) -> tuple[np.ndarray, np.ndarray]:
     """Measures and labels of the labelled table's blocks."""
     xs, ys = [], []
     for page in pages:
-        marked = blocks(_MARK.sub(r" §\1 ", page))
-        ys += [int(re.search(r"§([01])", b.text)[1]) for b in marked]
-        xs.append(measures(blocks(_MARK.sub("", page))))
-    return np.concatenate(xs), np.array(ys)
+        for size in range(LENGTHS):
+            cut = blocks(_filled(page, size))
+            ys += ["①" in b.text for b in cut]
+            xs.append(measures(blocks(_MARK.sub("", _filled(page, size)))))
+    return np.concatenate(xs), np.array(ys, int)
 
 
 @dataclass
@@ -244,28 +362,37 @@ class Tree:
             node[inner] = np.where(go, self.left[node[inner]], self.right[node[inner]])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Tree:
-    """CART by Gini impurity; ties go to the earlier measure and the smaller value."""
+def gini(y: np.ndarray) -> float:
+    return len(y) * 2 * y.mean() * (1 - y.mean()) if len(y) else 0.0
+
+
+def best_split(x: np.ndarray, y: np.ndarray, least: int) -> tuple[int, float]:
+    """(measure, value) of the split that lowers Gini impurity most, (-1, 0) if none does; ties go to
+    the earlier measure and the smaller value."""
+    best, out = 1e-9, (-1, 0.0)
+    for f in range(x.shape[1]):
+        order = np.argsort(x[:, f], kind="stable")
+        v, left = x[order, f], np.cumsum(y[order])
+        n = np.arange(1, len(y))
+        total = left[-1]
+        a, b = left[:-1], total - left[:-1]
+        impurity = 2 * a * (n - a) / n + 2 * b * (len(y) - n - b) / (len(y) - n)
+        gain = np.where((v[1:] > v[:-1]) & (n >= least) & (len(y) - n >= least), gini(y) - impurity, -1.0)
+        k = int(np.argmax(gain)) if len(gain) else 0
+        if len(gain) and gain[k] > best + 1e-9:
+            best, out = float(gain[k]), (f, float(v[k] + v[k + 1]) / 2)
+    return out
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 16, least: int = 1) -> Tree:
+    """CART by Gini impurity."""
     nodes: list[list] = []
 
     def add(rows: np.ndarray, left: int) -> int:
         at = len(nodes)
         nodes.append([-1, 0.0, -1, -1, bool(y[rows].mean() >= 0.5)])
-        best = (0.0, -1, 0.0)
-        here = len(rows) * 2 * y[rows].mean() * (1 - y[rows].mean())
-        if left and here > 0:
-            for f in range(x.shape[1]):
-                vals = np.unique(x[rows, f])
-                for v in (vals[1:] + vals[:-1]) / 2:
-                    a = rows[x[rows, f] <= v]
-                    b = rows[x[rows, f] > v]
-                    if min(len(a), len(b)) < least:
-                        continue
-                    gain = here - sum(len(r) * 2 * y[r].mean() * (1 - y[r].mean()) for r in (a, b))
-                    if gain > best[0] + 1e-9:
-                        best = (gain, f, float(v))
-        if best[1] >= 0:
-            _, f, v = best
+        f, v = best_split(x[rows], y[rows], least) if left and gini(y[rows]) > 0 else (-1, 0.0)
+        if f >= 0:
             nodes[at][:2] = [f, v]
             nodes[at][2] = add(rows[x[rows, f] <= v], left - 1)
             nodes[at][3] = add(rows[x[rows, f] > v], left - 1)
@@ -294,14 +421,13 @@ def main_texts(pages: list[str | None]) -> list[str]:
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of pages with `hb_text`."""
+    """The columns `keep` of pages (all but the html by default) with `hb_text`."""
     keep = [c for c in pages.columns if c != html_col] if keep is None else keep
-    src = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col).alias("hb_html"))
-    schema = T.StructType([*[src.schema[c] for c in keep], T.StructField("hb_text", T.StringType())])
+    src = packed(pages, keep, ["hb_text"], html=F.col(f"`{html_col}`"))
+    schema = T.StructType([src.schema["row"], T.StructField("hb_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in groups(batches, len(keep)):
-            got = pa.array(main_texts(b.column(len(keep)).to_pylist()), pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], got], names=[*keep, "hb_text"])
+        for b in groups(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(main_texts(b.column(1).to_pylist()), pa.string())], names=["row", "hb_text"])
 
-    return src.mapInArrow(run, schema)
+    return unpacked(src.mapInArrow(run, schema), "hb_text")

@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import crf
-from .common import groups
+from .common import groups, packed, unpacked
 
-LINES_PER_LANG = 640
-DOCS_PER_LANG = 400
+LINES_PER_LANG = 1500
+DOCS_PER_LANG = 600
 LINE_CHARS = 2000
 LEAST_CHARS = 20
 BUCKETS = 1 << 15
@@ -164,7 +164,7 @@ def cuts(n: int) -> list[int]:
     return [min(CHAIN, n - i) for i in range(0, n, CHAIN)]
 
 
-def fit(lines: list[tuple[str, str]], rounds: int = 30) -> Model | None:
+def fit(lines: list[tuple[str, str]], rounds: int = 40) -> Model | None:
     """A model from (language, line) pairs, in any order; None if there are none."""
     lines = sorted({(a, b) for a, b in lines if any(map(str.isalpha, b))}, key=lambda x: (zlib.crc32(x[1].encode("utf-8", "replace")), x))
     langs = sorted({a for a, _ in lines})
@@ -218,20 +218,22 @@ def sample_lines(docs: DataFrame, text_col: str, lang_col: str, id_col: str) ->
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs with `lc_lang` and `lc_score`."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("lc_text"))
+    made = [T.StructField("lc_lang", T.StringType()), T.StructField("lc_score", T.DoubleType())]
+    names = [f.name for f in made]
+    src = packed(docs, keep, names, text=F.col(f"`{text_col}`"))
     if model is None:
-        return src.select(*[F.col(f"`{c}`") for c in keep], F.lit(NONE).alias("lc_lang"), F.lit(0.0).alias("lc_score"))
-    schema = T.StructType([*[src.schema[c] for c in keep], T.StructField("lc_lang", T.StringType()), T.StructField("lc_score", T.DoubleType())])
+        return unpacked(src, F.lit(NONE).alias("lc_lang"), F.lit(0.0).alias("lc_score"))
+    schema = T.StructType([src.schema["row"], *made])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in groups(batches, len(keep)):
-            got = m.predict([x or "" for x in b.column(len(keep)).to_pylist()])
+        for b in groups(batches, 1):
+            got = m.predict([x or "" for x in b.column(1).to_pylist()])
             cols = [pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["row", *names])
 
-    return src.mapInArrow(run, schema)
+    return unpacked(src.mapInArrow(run, schema), *names)
 
 
 def learn_and_predict(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:

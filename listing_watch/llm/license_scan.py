@@ -22,6 +22,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 #: Percent, so that bounds compare whole numbers.
 THRESHOLD = 80
 
@@ -97,7 +99,7 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | No
     lines = F.split(t, "\n")
     blocks = F.filter(F.split(t, "\n[ \\t\\r]*\n"), lambda x: F.contains(x, F.lit("\n")))
     units = F.when(t.rlike(anchors), F.filter(F.concat(lines, blocks), lambda x: x.rlike(anchors)))
-    d = docs.withColumn("ls_bigrams", F.transform(units, _bigrams))
+    d = packed(docs, None, ["ls_license", "ls_dice", "ls_matches"], bigrams=F.transform(units, _bigrams))
 
     def best(b: Column) -> Column:
         n = F.size(b)
@@ -110,14 +112,9 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | No
             each.append(F.when(near, F.struct((-2 * both / (n + k)).alias("minus"), F.lit(name).alias("name"))))
         return F.array_min(F.array(*each))
 
-    d = d.withColumn("ls_found", F.filter(F.transform("ls_bigrams", best), lambda x: x.isNotNull()))
-    top = F.array_min("ls_found")
-    return d.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        top["name"].alias("ls_license"),
-        (-top["minus"]).alias("ls_dice"),
-        F.when(F.col("ls_found").isNull(), 0).otherwise(F.size("ls_found")).cast("long").alias("ls_matches"),
-    )
+    d = d.withColumn("found", F.filter(F.transform("bigrams", best), lambda x: x.isNotNull()))
+    top = F.array_min("found")
+    return unpacked(d, top["name"].alias("ls_license"), (-top["minus"]).alias("ls_dice"), F.when(F.col("found").isNull(), 0).otherwise(F.size("found")).cast("long").alias("ls_matches"))
 
 
 def oracle(templates: dict[str, str] | None = None, threshold: int = THRESHOLD) -> str:

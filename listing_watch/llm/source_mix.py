@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import packed, stored, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -210,17 +210,19 @@ def mixed_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     Rows that repeat both id and text are told apart by number, and each holds its own words."""
     _, blocks = mix(docs, text_col, id_col, source_col, **options)
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
-    parts = blocks.withColumn("mx_name", name(F.col("mx_id"))).groupBy("mx_name", "mx_row").agg(F.sort_array(F.collect_list(F.struct("mx_start", "mx_pass", "mx_from", "mx_n"))).alias("mx_parts"))
-    d = docs.withColumn("mx_name", name(F.col(id_col))).withColumn("mx_row", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    same = Window.partitionBy("mx_name", "mx_row").orderBy("mx_name")
-    d = d.withColumn("mx_copy", F.row_number().over(same) - 1).join(parts, ["mx_name", "mx_row"])
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.col("n_chars").cast("long"))
-    d = d.select(*[F.col(f"`{c}`") for c in docs.columns], "mx_copy", "mx_parts")
-    schema = T.StructType(d.schema.fields[:-2])
+    # a null id is a name of its own
+    name = lambda c: F.concat(F.when(c.isNull(), "-").otherwise("+"), F.coalesce(c.cast("string"), F.lit("")))
+    parts = blocks.withColumn("name", name(F.col("mx_id"))).groupBy("name", "mx_row").agg(F.sort_array(F.collect_list(F.struct("mx_start", "mx_pass", "mx_from", "mx_n"))).alias("parts"))
     names = list(docs.columns)
+    d = packed(docs, names, [], name=name(F.col(f"`{id_col}`")), mx_row=F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    same = Window.partitionBy("name", "mx_row").orderBy("name")
+    d = d.withColumn("copy", F.row_number().over(same) - 1).join(parts, ["name", "mx_row"])
+    d = unpacked(d, "copy", "parts")
+    d = d.toDF(*[f"c{i}" for i in range(len(names))], "copy", "parts")
     at, chars_at = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
+    if chars_at is not None:
+        d = d.withColumn(f"c{chars_at}", F.col(f"c{chars_at}").cast("long"))
+    schema = T.StructType(d.schema.fields[:-2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,7 +239,7 @@ def mixed_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             cols[at] = pa.array(texts, pa.string())
             if chars_at is not None:
                 cols[chars_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            got = pa.RecordBatch.from_arrays(cols, names=names)
+            got = pa.RecordBatch.from_arrays(cols, names=schema.names)
             yield got.filter(cols[at].is_valid())
 
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(run, schema).toDF(*names)

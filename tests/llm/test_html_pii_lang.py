@@ -76,12 +76,102 @@ def test_plain_words_are_outside():
     assert set(pii_crf.model().tags([words])[0]) == {"O"}
 
 
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ("reach Maria at maria dot lopez at gmail dot com", [("email", "maria dot lopez at gmail dot com")]),
+        ("john_doe(at)mail.com", [("email", "john_doe(at)mail.com")]),
+        ("my cell is 4155552671", [("phone", "4155552671")]),
+        ("order number 415-555-2671", []),
+        ("his card 4929.1234.5678.9012 expired", [("card", "4929.1234.5678.9012")]),
+        ("ping 10[.]1[.]2[.]3", [("ip", "10[.]1[.]2[.]3")]),
+        ("de de de de de at at at it it it", []),
+        ("Of%%% the&&& erntwh.%%% at*** dot $$$ and### it", []),
+    ],
+)
+def test_spans_of_all_kinds(text, spans):
+    assert [(k, text[a:e]) for k, a, e in pii_crf.find([text])[0][1]] == spans
+
+
+#: Lines in the manner of the labelled table, of other wording, with other names and numbers.
+HELD_OUT = """
+you may write %X under [email %x at %h dot %t] whenever
+questions go to [email %x dot %x at %h dot %t] first
+send the file to [email %x (at) %h (dot) %t] , not to me
+his new address : [email %x[at]%h.%t]
+[email %x_%x(at)%h.%t] is the one for complaints
+she used [email %x.%x(at)%h.%t] then
+call %X at [phone %3-%3-%4] tonight
+the office phone is [phone (%3) %3-%4]
+tel. [phone 0%2 %7] or fax [phone 0%2 %7]
+her mobile [phone 0%3-%7] was off
+text [phone %9%1] for the code
+server [ip %o dot %o dot %o dot %o] is slow
+we saw [ip %o[.]%o[.]%o[.]%o] in the log
+the host [ip %o[.]%o[.]%o[.]%o] again
+my visa [card %4.%4.%4.%4] was stolen
+card [card %4 / %4 / %4 / %4] , valid until june
+the mastercard [card %4_%4_%4_%4] of %X
+order number %3-%3-%4 came late
+your ticket number %3-%3-%4 is open
+tracking number %9%1 says so
+%X stayed at home and looked at a dot
+version %1 dot %1 of the tool
+in 19%2 they sold %4 cars and %3 boats
+page %2 , table %1 , item %3
+the parcel weighs %2.%1 kilos
+from %1:%2 to %2:%2 on mondays
+isbn 978-%1-%3-%5-%1 is out of print
+key = "%5b%4f%6a%3" for now
+the score was %2-%2 after %1 rounds
+see %h.%t/%x for more of it
+"""
+
+
+def test_precision_and_recall_of_added_spans():
+    lines = pii_crf.labelled_chains(pii_crf.filled(HELD_OUT, copies=5, seed=99))
+    hit = found = due = 0
+    for words, tags in lines:
+        text, at, want = " ".join(words), 0, []
+        for w, t in zip(words, tags):
+            if t[0] == "B":
+                want.append([t[2:], at, at + len(w)])
+            elif t[0] == "I":
+                want[-1][2] = at + len(w)
+            at += len(w) + 1
+        base, spans = pii_crf.find([text])[0]
+        got = {s for s in spans if s not in base}
+        due, found, hit = due + len(want), found + len(got), hit + len(got & set(map(tuple, want)))
+    assert hit >= 0.95 * found and hit >= 0.9 * due and due > 80
+
+
+def test_windows_decode_as_whole_texts():
+    """Decoding within reach of words that are not plain gives the tags of whole chains."""
+    m = pii_crf.model()
+    r = random.Random(6)
+    some = [w for line in pii_crf.filled(copies=1) for w in line.replace("[email", "").split()]
+    for _ in range(150):
+        words = [r.choice(some) if r.random() < 0.15 else r.choice(["Word", "and", "with,", "Things.", "goes"]) for _ in range(r.randint(1, 90))]
+        tags = ["O"] * len(words)
+        codes = m.code(words)
+        windows = pii_crf._windows(codes, m.reach)
+        for (lo, hi), got in zip(windows, m.decode([(m.pad(codes), lo, hi) for lo, hi in windows])):
+            tags[lo:hi] = got
+        assert tags == m.tags([words])[0]
+        assert all(codes[i] <= len(pii_crf.PLAIN) for i, w in enumerate(words) if w in ("Word", "and", "with,", "Things.", "goes"))
+
+
 def test_redaction_and_rows(spark):
     assert pii_crf.redact("a@b.cc x +1 555 555 0100", pii_crf.base_spans("a@b.cc x +1 555 555 0100")) == "<EMAIL> x <PHONE>"
     d = spark.createDataFrame([(1, "a@b.cc", "k"), (2, None, None), (2, "", "k")], "doc_id int, text string, pi_in string")
     got = pii_crf.scan(d, redacted=True).collect()
     assert [r["pi_text"] for r in got] == ["<EMAIL>", None, ""] and got[0]["pi_spans"][0]["end"] == 6
     assert pii_crf.scan(d.limit(0)).count() == 0
+    assert [r["pi_in"] for r in got] == ["k", None, "k"]
+    names = ["row", "text", "pi_base", "PI_TEXT", "none", "email"]
+    odd = spark.createDataFrame([("r", "a@b.cc", "x", "y", "z", "w")], ", ".join(f"{n} string" for n in names))
+    row = pii_crf.scan(odd, redacted=True).first()
+    assert row.__fields__ == ["row", "none", "email", "pi_base", "pi_spans", "pi_text"] and tuple(row)[:3] == ("r", "z", "w") and row["pi_text"] == "<EMAIL>"
 
 
 WORDS = {"en": "the and of with house water thing ing".split(), "de": "der und nicht mit haus wasser ding ung".split(), "es": "los y de con casa agua cosa ción".split()}

@@ -6,6 +6,7 @@ is native. Null is the empty text throughout."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -33,11 +34,16 @@ def nfkc(text: Column) -> Column:
 
 def kata_to_hira(text: Column) -> Column:
     """Katakana as hiragana; the long-vowel mark and the middle dot stay."""
-    return F.translate(text, KATAKANA, HIRAGANA)
+    return F.when(text.rlike(f"[{KATAKANA[0]}-{KATAKANA[-1]}]"), F.translate(text, KATAKANA, HIRAGANA)).otherwise(text)
+
+
+def fold(normal: Column) -> Column:
+    """Case and kana of a text in NFKC folded."""
+    return kata_to_hira(F.lower(normal))
 
 
 def folded(text: Column) -> Column:
-    return kata_to_hira(F.lower(nfkc(text)))
+    return fold(nfkc(text))
 
 
 def tight_of(folded_text: Column) -> Column:
@@ -48,6 +54,11 @@ def spaced_of(folded_text: Column) -> Column:
     return F.trim(F.regexp_replace(folded_text, f"[^{KEPT}]+", " "))
 
 
+def padded_of(folded_text: Column) -> Column:
+    """The spaced form with a space on either side."""
+    return F.concat(F.lit(" "), spaced_of(folded_text), F.lit(" "))
+
+
 def tight(text: Column) -> Column:
     return tight_of(folded(text))
 
@@ -59,20 +70,40 @@ def spaced(text: Column) -> Column:
 def prep(text: Column) -> Column:
     """Struct of the tight form `t` and the spaced form `s`, padded by a space on either side."""
     f = folded(text)
-    return F.struct(tight_of(f).alias("t"), F.concat(F.lit(" "), spaced_of(f), F.lit(" ")).alias("s"))
+    return F.struct(tight_of(f).alias("t"), padded_of(f).alias("s"))
 
 
 def is_short_code(term_t: Column) -> Column:
     return term_t.rlike(f"^[0-9a-z]{{1,{SHORT_CODE}}}$")
 
 
-def contains_term(term_t: Column, t: Column, s: Column) -> Column:
+def codes_of(t: Column, s: Column) -> Column:
+    """The letters and digits of a text's two forms, a space for all else between them; null where
+    the forms are nothing but letters, digits and spaces. For `contains_term`, worked out once a text."""
+    codes = lambda x: F.concat(F.lit(" "), F.regexp_replace(x, "[^0-9a-z]+", " "), F.lit(" "))
+    # all else that the forms keep is beyond ASCII
+    return F.when(F.octet_length(t) > F.length(t), F.concat(codes(t), codes(s)))
+
+
+def contains_term(term_t: Column, t: Column, s: Column, codes: Column | None = None) -> Column:
     """Is the tight term in the text? Short codes must not touch another letter or digit, in the
     tight or the spaced form. An empty term is in nothing."""
     # what stands free in the spaced form is contiguous in the tight form too
     there = (F.length(term_t) > 0) & F.contains(t, term_t)
-    free = F.concat(F.lit("(?<![0-9a-z])"), term_t, F.lit("(?![0-9a-z])"))
-    return F.coalesce(there & (~is_short_code(term_t) | F.rlike(t, free) | F.rlike(s, free)), F.lit(False))
+    word = F.concat(F.lit(" "), term_t, F.lit(" "))
+    free = F.contains(s, word) | (t == term_t) | F.coalesce(F.contains(codes_of(t, s) if codes is None else codes, word), F.lit(False))
+    return F.coalesce(there & (~is_short_code(term_t) | free), F.lit(False))
+
+
+def contains_literal(term_t: str, t: Column, s: Column) -> Column:
+    """`contains_term` for a term known beforehand."""
+    if not term_t:
+        return F.lit(False)
+    there = F.contains(t, F.lit(term_t))
+    if re.fullmatch(f"[0-9a-z]{{1,{SHORT_CODE}}}", term_t):
+        free = f"(?<![0-9a-z]){term_t}(?![0-9a-z])"
+        there = there & (s.rlike(free) | t.rlike(free))
+    return F.coalesce(there, F.lit(False))
 
 
 def contains_any(terms: list[Column], t: Column, s: Column) -> Column:

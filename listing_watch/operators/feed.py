@@ -71,15 +71,21 @@ def alert_status(alerts: DataFrame, runs: DataFrame, seen: DataFrame, medians: D
 
 
 def digest(matches: DataFrame, borderline: DataFrame, url_prefix: str) -> DataFrame:
-    """(alert, label, section, n, lines): matches, and the first borderline rows by pos, one line of
-    text for each; the inputs have alert, label, pos, id, name, price, score."""
-    w = Window.partitionBy("alert").orderBy("pos")
+    """(alert, label, section, n, pos, id, line): matches, and the first borderline rows by pos, a row
+    for each line of text with the number of lines of its section; the inputs have alert, label, pos,
+    id, name, price, score. Lines are in order of pos and id."""
+    w = Window.partitionBy("alert").orderBy("pos", "id")
     few = borderline.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= SHOWN_BORDERLINE).drop("k")
     d = matches.withColumn("section", F.lit("match")).unionByName(few.withColumn("section", F.lit("borderline")))
     price = F.coalesce(F.format_number("price", 0), F.lit("?"))
     line = F.concat_ws(" | ", F.when(F.col("section") == "borderline", F.format_string("[%.2f] %s", "score", "name")).otherwise(F.col("name")), price, item_url(F.col("id"), url_prefix))
-    g = d.groupBy("alert", "section").agg(F.max("label").alias("label"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("rows"))
-    return g.select("alert", "label", "section", "n", F.transform("rows", lambda x: x["line"]).alias("lines"))
+    n = digest_counts(d)
+    return d.join(n.select("alert", "section", "n"), ["alert", "section"]).select("alert", "label", "section", "n", "pos", "id", line.alias("line"))
+
+
+def digest_counts(lines: DataFrame) -> DataFrame:
+    """(alert, label, section, n): how many lines each section has."""
+    return lines.groupBy("alert", "section").agg(F.max("label").alias("label"), F.count("*").alias("n"))
 
 
 def digest_subject(sections: DataFrame) -> DataFrame:

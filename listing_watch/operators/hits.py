@@ -1,66 +1,99 @@
 """Which terms occur in which listings, and how often.
 
-Terms meet listings in an equi-join on 2-grams: a listing's distinct 2-grams of its tight text
-against one 2-gram of each term (the character itself for terms of one), then `contains_term` on
-the pairs that meet. Up to MAX_LOCAL terms, the usual rule table, are turned to grams on the
-driver, so Spark knows the size of that side: where it fits it is broadcast, and grams and texts
-are never shuffled. More terms take narrow rows of (id, gram) to the join and the texts after it."""
+Up to FEW terms, the usual rule table, are tested in place, one literal after another, so a
+listing's text is read once where it lies and only its hits are shuffled. More terms meet the
+listings in an equi-join on 2-grams: the distinct 2-grams of a listing's tight text, as narrow
+rows, against one 2-gram of each term (the character itself for terms of one), then
+`contains_term` on the pairs that meet. Both give the same rows: one for each id and term, whether
+of one listing or of several that repeat an id."""
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import pairwise
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_term, prep
+from ..functions.text import codes_of, contains_term, fold, nfkc, padded_of, tight_of
+from ..sources.store import spread
+
+FEW = 200
+TEXTS = ["t_title", "s_title", "t_desc", "s_desc"]
+
 
-GRAMS = "(?=(..))"
-MAX_LOCAL = 50_000
+def once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """df with cols, each worked out once a row: a generator of one row keeps the optimizer from
+    writing them out again at every use."""
+    x = F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))).alias("_once")
+    return df.select("*", x).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("_once").getField(k).alias(k) for k in cols])
 
 
 def prepared(listings: DataFrame) -> DataFrame:
     """listings with t_title, s_title, t_desc and s_desc; each text is normalised once."""
-    d = listings.withColumn("_a", prep(F.col("name"))).withColumn("_b", prep(F.col("description")))
-    return d.withColumns({"t_title": F.col("_a.t"), "s_title": F.col("_a.s"), "t_desc": F.col("_b.t"), "s_desc": F.col("_b.s")}).drop("_a", "_b")
+    d = spread(listings).withColumns({"_a": nfkc(F.col("name")), "_b": nfkc(F.col("description"))})
+    d = once(d, {"_c": fold(F.col("_a")), "_d": fold(F.col("_b"))})
+    d = once(d, {f"{form}_{k}": f(F.col(c)) for k, c in (("title", "_c"), ("desc", "_d")) for form, f in (("t", tight_of), ("s", padded_of))})
+    return d.drop("_a", "_b", "_c", "_d")
 
 
-def _gram_of(terms: DataFrame) -> DataFrame:
-    """(term_t, gram): one gram of each term, that which the fewest other terms have."""
-    grams = F.when(F.length("term_t") == 1, F.array("term_t")).otherwise(F.array_distinct(F.regexp_extract_all("term_t", F.lit(GRAMS), F.lit(1))))
-    g = terms.select("term_t", F.explode(grams).alias("gram"))
+def _grams(tight: Column, singles: bool) -> Column:
+    """Distinct 2-grams of a tight text, with its characters if asked for."""
+    c = F.filter(F.split(tight, ""), lambda x: x != "")
+    n = F.greatest(F.size(c) - 1, F.lit(0))
+    two = F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.concat(two, c) if singles else two)
+
+
+def _gram_of(words: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, term_t, gram): one gram of each term, that which the fewest other terms have."""
+    grams = F.when(F.length("term_t") == 1, F.array("term_t")).otherwise(_grams(F.col("term_t"), False))
+    g = words.select(*keys, "term_t", F.explode(grams).alias("gram"))
     n = g.groupBy("gram").count()
-    return g.join(n, "gram").groupBy("term_t").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    return g.join(n, "gram").groupBy(*keys, "term_t").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+
+
+def _folded(found: DataFrame, keys: list[str]) -> DataFrame:
+    return found.groupBy(*keys, "id", "term_t").agg(F.bool_or("in_title").alias("in_title"), F.bool_or("in_desc").alias("in_desc"))
+
+
+def hits_within(prepped: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, term_t, in_title, in_desc): as `term_hits`, each term being looked for in the
+    listings of equal keys only. A large group is spread over its grams."""
+    words = terms.select(*keys, "term_t").filter("term_t != ''").distinct()
+    texts = prepped.select(*keys, "id", *TEXTS, F.xxhash64(*TEXTS).alias("_h"))
+    grams = _grams(F.concat("t_title", F.lit("\0"), "t_desc"), True)
+    met = texts.select(*keys, "id", "_h", F.explode(grams).alias("gram")).join(_gram_of(words, keys), [*keys, "gram"])
+    # the terms that may be in a text come to it together, so that it is moved once
+    met = met.groupBy(*keys, "id", "_h").agg(F.collect_set("term_t").alias("_terms"))
+    one = texts.dropDuplicates([*keys, "id", "_h"]).withColumnsRenamed({c: f"_{c}" for c in [*keys, "id"]}).withColumnRenamed("_h", "_g")
+    same = F.col("_h") == F.col("_g")
+    for c in [*keys, "id"]:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return _folded(_coded(met.join(one, same)).select(*keys, "id", _found(F.col("_terms"))).select(*keys, "id", "x.*"), keys)
+
+
+def _coded(prepped: DataFrame) -> DataFrame:
+    """With what `contains_term` needs of each text, worked out once."""
+    return once(prepped, {f"_codes_{k}": codes_of(F.col(f"t_{k}"), F.col(f"s_{k}")) for k in ("title", "desc")})
 
 
-def _local_grams(spark: SparkSession, terms: list[str]) -> DataFrame:
-    """The same for a few terms, with a known size."""
-    cut = {t: {t} if len(t) == 1 else {a + b for a, b in pairwise(t)} for t in terms}
-    n = Counter(g for gs in cut.values() for g in gs)
-    rows = {"term_t": list(cut), "gram": [min(gs, key=lambda g: (n[g], g)) for gs in cut.values()]}
-    return spark.createDataFrame(pa.table(rows, pa.schema([("term_t", pa.string()), ("gram", pa.string())])))
+def _found(words: Column) -> Column:
+    """A row `x` (term_t, in_title, in_desc) for each of the words that the coded texts have."""
+    has = lambda t, k: contains_term(t, F.col(f"t_{k}"), F.col(f"s_{k}"), F.col(f"_codes_{k}"))
+    test = lambda t: F.struct(t.alias("term_t"), has(t, "title").alias("in_title"), has(t, "desc").alias("in_desc"))
+    return F.explode(F.filter(F.transform(words, test), lambda x: x["in_title"] | x["in_desc"])).alias("x")
 
 
-def term_hits(prepped: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, term_t, in_title, in_desc), a row for each listing and distinct tight term it has."""
+def term_hits(prepped: DataFrame, terms: DataFrame, few: int = FEW) -> DataFrame:
+    """(id, term_t, in_title, in_desc): a row for each id and distinct tight term that a listing of
+    that id has. The terms are looked at, as far as `few`, while the query is put together."""
     words = terms.select("term_t").filter("term_t != ''").distinct()
-    few = [r[0] for r in words.limit(MAX_LOCAL + 1).collect()]
-    text = prepped.select("id", "t_title", "s_title", "t_desc", "s_desc")
-    two = F.array_union(F.regexp_extract_all("t_title", F.lit(GRAMS), F.lit(1)), F.regexp_extract_all("t_desc", F.lit(GRAMS), F.lit(1)))
-    if len(few) <= MAX_LOCAL:
-        single = any(len(t) == 1 for t in few)
-        grams = F.array_union(two, F.split(F.concat("t_title", "t_desc"), "")) if single else two
-        met = text.withColumn("gram", F.explode(grams)).join(_local_grams(prepped.sparkSession, few), "gram")
-    else:
-        grams = F.array_union(two, F.split(F.concat("t_title", "t_desc"), ""))
-        met = text.select("id", F.explode(grams).alias("gram")).join(_gram_of(words), "gram").select("id", "term_t").join(text, "id")
-    title, desc = contains_term(F.col("term_t"), F.col("t_title"), F.col("s_title")), contains_term(F.col("term_t"), F.col("t_desc"), F.col("s_desc"))
-    return met.select("id", "term_t", title.alias("in_title"), desc.alias("in_desc")).filter("in_title or in_desc")
+    some = sorted(r[0] for r in words.limit(few + 1).collect())
+    if len(some) > few:
+        return hits_within(prepped, words, [])
+    words = F.array(*map(F.lit, some)) if some else F.array().cast("array<string>")
+    return _folded(_coded(prepped.select("id", *TEXTS)).select("id", _found(words)).select("id", "x.*"), [])
 
 
 def term_counts(prepped: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term_t, listings): how many listings have each term; 0 for those in none."""
+    """(term_t, listings): how many listings, by id, have each term; 0 for those in none."""
     n = term_hits(prepped, terms).groupBy("term_t").agg(F.count("*").alias("listings"))
     return terms.select("term_t").distinct().join(n, "term_t", "left").select("term_t", F.coalesce("listings", F.lit(0)).alias("listings"))

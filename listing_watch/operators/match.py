@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 TITLE_FACTOR = 1.25
 
 
@@ -78,7 +80,7 @@ def verdicts(candidates: DataFrame, hits: DataFrame, rules: DataFrame, params: D
 def two_phase_verdicts(candidates: DataFrame, hits: DataFrame, rules: DataFrame, params: DataFrame, budget: int | None = None, order: list[str] | None = None, per_alert: bool = False) -> DataFrame:
     """Judged on the title; only undecided candidates are judged again with the description, so a
     match by title is final. With a budget only the first so many undecided, in `order`, are."""
-    first = verdicts(candidates, hits, rules, params, with_desc=False)
+    first = stored(verdicts(candidates, hits, rules, params, with_desc=False), "title-verdicts")
     open_ = F.col("needs_description")
     if budget is not None:
         pick = first.filter(open_).select("alert", "id", *[c for c in order or ["alert", "id"] if c not in ("alert", "id")])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hits import _gram_of, _grams
+
 MAX_EXCLUDES, MAX_REQUIRES = 12, 8
 
 
@@ -29,10 +31,17 @@ def _marks(cards: DataFrame) -> DataFrame:
 
 
 def _spread(cards: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(alert, tterm, term, in_confirmed, in_rejected, in_unmarked): how many cards have each term."""
-    d = vocab.join(cards.select("alert", "mark", "tt"), "alert").filter(F.contains("tt", F.col("tterm")))
+    """(alert, tterm, term, in_confirmed, in_rejected, in_unmarked): how many cards have each term.
+
+    Terms and cards of an alert meet on 2-grams, as terms and listings do, so that an alert with many
+    of both is spread over them; the pairs that meet are tested."""
+    marked = cards.select("alert", "mark", "tt", F.xxhash64("id", "tt", "mark").alias("_card")).groupBy("alert", "_card").agg(F.first("mark").alias("mark"), F.first("tt").alias("tt"), F.count("*").alias("k"))
+    met = marked.select("alert", "_card", F.explode(_grams(F.col("tt"), True)).alias("gram")).join(_gram_of(vocab.select("alert", F.col("tterm").alias("term_t")), ["alert"]), ["alert", "gram"])
+    d = met.select("alert", "_card", F.col("term_t").alias("tterm")).distinct().join(marked, ["alert", "_card"]).filter(F.contains("tt", F.col("tterm")))
     m = F.col("mark")
-    return d.groupBy("alert", "tterm", "term").agg(F.count_if(m == "confirmed").alias("in_confirmed"), F.count_if(m == "rejected").alias("in_rejected"), F.count_if(m.isNull()).alias("in_unmarked"))
+    n = lambda test: F.sum(F.when(test, F.col("k")).otherwise(0)).cast("long")
+    g = d.groupBy("alert", "tterm").agg(n(m == "confirmed").alias("in_confirmed"), n(m == "rejected").alias("in_rejected"), n(m.isNull()).alias("in_unmarked"))
+    return g.join(vocab, ["alert", "tterm"]).select("alert", "tterm", "term", "in_confirmed", "in_rejected", "in_unmarked")
 
 
 def own_compound(term: Column, own: Column) -> Column:
@@ -43,11 +52,27 @@ def own_compound(term: Column, own: Column) -> Column:
 
 
 def drop_redundant_rows(rows: DataFrame, prefer_shorter: bool) -> DataFrame:
-    """Without terms that another as well evidenced (count) covers: the shorter stays, or the longer."""
-    b = rows.select("alert", F.col("tterm").alias("b"), F.col("count").alias("nb"))
-    inside = F.contains(F.col("tterm"), F.col("b")) if prefer_shorter else F.contains(F.col("b"), F.col("tterm"))
-    worse = rows.join(b, "alert").filter((F.col("b") != F.col("tterm")) & inside & (F.col("nb") >= F.col("count")))
-    return rows.join(worse.select("alert", "tterm").distinct(), ["alert", "tterm"], "left_anti")
+    """Without terms that another as well evidenced (count) covers: the shorter stays, or the longer.
+    Terms are short: containment is an equality with a proper substring, and no pairs are tried."""
+    t, n = F.col("tterm"), F.length("tterm")
+    cut = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(t, i, k))))
+    parts = rows.filter(n > 1).select("alert", F.col("tterm").alias("outer"), F.col("count").alias("n_outer"), F.explode(F.array_distinct(cut)).alias("inner"))
+    both = parts.join(rows.select("alert", F.col("tterm").alias("inner"), F.col("count").alias("n_inner")), ["alert", "inner"])
+    worse = both.filter("n_inner >= n_outer").select("alert", F.col("outer").alias("tterm")) if prefer_shorter else both.filter("n_outer >= n_inner").select("alert", F.col("inner").alias("tterm"))
+    return rows.join(worse.distinct(), ["alert", "tterm"], "left_anti")
+
+
+def rule_tights(rules: DataFrame) -> DataFrame:
+    """(alert, require, signals, exclude): flattened rules in tight form, the required groups as arrays
+    in order, the signals as a map from term to weight (the last of equal terms), the excludes in order."""
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "term_t", "weight"))))
+    groups = rules.filter("kind = 'require'").groupBy("alert", "grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "term_t"))), lambda x: x["term_t"]).alias("terms"))
+    groups = groups.groupBy("alert").agg(F.transform(F.array_sort(F.collect_list(F.struct("grp", "terms"))), lambda x: x["terms"]).alias("require"))
+    d = rules.groupBy("alert").agg(listed("signal").alias("s"), listed("exclude").alias("e")).join(groups, "alert", "left")
+    # later weights of a term replace earlier ones
+    last = F.filter("s", lambda x, i: ~F.exists(F.slice("s", i + 2, F.greatest(F.size("s") - i - 1, F.lit(0))), lambda y: y["term_t"] == x["term_t"]))
+    signals = F.map_from_entries(F.transform(last, lambda x: F.struct(x["term_t"], x["weight"])))
+    return d.select("alert", F.coalesce("require", F.array().cast("array<array<string>>")).alias("require"), signals.alias("signals"), F.transform("e", lambda x: x["term_t"]).alias("exclude"))
 
 
 def suggest_excludes(cards: DataFrame, rules: DataFrame, keep: int = MAX_EXCLUDES) -> DataFrame:

@@ -27,13 +27,23 @@ def _queries(alerts: DataFrame) -> DataFrame:
     return words.select("alert", "query_ord", "query", tight(F.col("token")).alias("term_t"))
 
 
-def query_matches(prepped: DataFrame, alerts: DataFrame) -> DataFrame:
-    """(alert, query_ord, query, id, created): listings that have every word of a query, within the
-    alert's status, prices and categories and without the words it leaves out."""
-    tokens = _queries(alerts).distinct()
+def _without(alerts: DataFrame) -> DataFrame:
+    """(alert, term_t): the words that an alert's searches leave out."""
     without = alerts.select(F.col("name").alias("alert"), F.explode(F.filter(F.split(F.coalesce("search_exclude", F.lit("")), r"\s+"), lambda x: x != "")).alias("word"))
-    without = without.select("alert", tight(F.col("word")).alias("term_t"))
-    hits = term_hits(prepped, tokens.select("term_t").union(without.select("term_t"))).select("id", "term_t")
+    return without.select("alert", tight(F.col("word")).alias("term_t"))
+
+
+def query_terms(alerts: DataFrame) -> DataFrame:
+    """(term_t): the words that searches ask for or leave out."""
+    return _queries(alerts).select("term_t").union(_without(alerts).select("term_t")).distinct()
+
+
+def query_matches(prepped: DataFrame, alerts: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """(alert, query_ord, query, id, created): listings that have every word of a query, within the
+    alert's status, prices and categories and without the words it leaves out. hits: those of
+    `query_terms` among others, where they are known already."""
+    tokens, without = _queries(alerts).distinct(), _without(alerts)
+    hits = (term_hits(prepped, query_terms(alerts)) if hits is None else hits).select("id", "term_t")
     need = tokens.groupBy("alert", "query_ord", "query").agg(F.count_distinct("term_t").alias("need"), F.bool_or(F.col("term_t") == "").alias("empty")).filter(~F.col("empty"))
     # the hit table is skewed by term: it meets the few queries by broadcast and is grouped by id
     full = hits.join(tokens, "term_t").groupBy("alert", "query_ord", "id").agg(F.count("*").alias("n"))

@@ -17,6 +17,7 @@ from ..operators import reports as rp
 from ..operators import retrieve as rt
 from ..operators import state as st
 from ..sources import alerts as al
+from ..sources.store import stored
 from . import views as v
 from .watch import watch_run
 
@@ -183,22 +184,29 @@ def active_alerts(s, d):
 
 @query(["found"], "SELECT alert, query_ord, id, rank FROM found")
 def search_listings(s, d):
-    return rt.search_listings(v.matches(s, d), v.alerts(s)).select("alert", F.col("query_ord").cast("int").alias("query_ord"), "id", "rank")
+    return rt.search_listings(v.Work(s, d).matches, v.alerts(s)).select("alert", F.col("query_ord").cast("int").alias("query_ord"), "id", "rank")
 
 
 @query(["matches", "tokens"], "SELECT DISTINCT alert, query_ord, query, (SELECT count(*) FROM matches m WHERE m.alert = t.alert AND m.query_ord = t.query_ord) AS total FROM tokens t")
 def query_totals(s, d):
-    return rt.query_totals(v.matches(s, d), v.alerts(s).filter("not paused"))
+    return rt.query_totals(v.Work(s, d).matches, v.alerts(s).filter("not paused"))
 
 
-@query(["hits", "rules"], "SELECT r.term_t, count(h.id) AS listings FROM (SELECT DISTINCT term_t FROM rules) r LEFT JOIN hits h USING (term_t) GROUP BY r.term_t")
+_DEFAULTS = ", ".join(f"({v._q(terms.tight_word(x))})" for x in al.DEFAULT_EXCLUDES)
+
+
+@query(
+    ["prepped", "rules"],
+    f"""SELECT w.term_t, count(p.id) AS listings FROM (SELECT term_t FROM rules UNION SELECT * FROM (VALUES {_DEFAULTS}) x(term_t)) w
+    LEFT JOIN prepped p ON {v._hit('w.term_t', 'p.t_title', 'p.s_title')} OR {v._hit('w.term_t', 'p.t_desc', 'p.s_desc')} GROUP BY w.term_t""",
+)
 def term_counts(s, d):
-    return ht.term_counts(v.prepped(s, d), v.rules(s).filter("kind != 'exclude' or ord >= 17"))
+    return ht.term_counts(v.prepped(s, d), v.rules(s))
 
 
 @query(["found"], "SELECT alert, id, query_ord, rank FROM (SELECT *, row_number() OVER (PARTITION BY alert, id ORDER BY query_ord, rank) AS n FROM found) WHERE n = 1")
 def pool_candidates(s, d):
-    return rt.pool_candidates(rt.search_listings(v.matches(s, d), v.alerts(s))).select("alert", "id", F.col("query_ord").cast("int").alias("query_ord"), "rank")
+    return rt.pool_candidates(rt.search_listings(v.Work(s, d).matches, v.alerts(s))).select("alert", "id", F.col("query_ord").cast("int").alias("query_ord"), "rank")
 
 
 _GONE = "(SELECT alert, unnest(rejected_ids) AS id FROM alerts)"
@@ -211,7 +219,7 @@ _GONE = "(SELECT alert, unnest(rejected_ids) AS id FROM alerts)"
     (SELECT count(*) FROM found f SEMI JOIN {_GONE} USING (alert, id) WHERE f.alert = t.alert AND f.query_ord = t.query_ord) AS dismissed FROM (SELECT DISTINCT alert, query_ord FROM tokens) t""",
 )
 def query_breakdown(s, d):
-    m, a = v.matches(s, d), v.alerts(s).filter("not paused")
+    m, a = v.Work(s, d).matches, v.alerts(s).filter("not paused")
     return rt.query_breakdown(rt.search_listings(m, a), m, a).select("alert", F.col("query_ord").cast("int").alias("query_ord"), "total", "returned", "new_here", "dismissed")
 
 
@@ -240,7 +248,8 @@ def excluded_by(s, d):
 
 @query(["candidates", "rule_hits"], "SELECT c.alert, c.id, r.grp FROM candidates c JOIN (SELECT DISTINCT alert, grp FROM rules WHERE kind = 'require') r USING (alert) WHERE NOT EXISTS (SELECT 1 FROM rule_hits h WHERE h.alert = c.alert AND h.id = c.id AND h.kind = 'require' AND h.grp = r.grp)")
 def missing_required(s, d):
-    return mt.missing_required(v.candidates(s, d), mt.rule_hits(v.hits(s, d), v.rules(s)), v.rules(s))
+    w = v.Work(s, d)
+    return mt.missing_required(w.candidates, mt.rule_hits(w.hits, w.rules), w.rules)
 
 
 @query(["rule_hits"], "SELECT alert, id, sum(weight * CASE WHEN in_title THEN 1.25 ELSE 1 END) AS score_raw, string_agg(term, ',' ORDER BY ord) AS hits FROM rule_hits WHERE kind = 'signal' GROUP BY alert, id")
@@ -248,8 +257,14 @@ def signal_score(s, d):
     return mt.signal_score(mt.rule_hits(v.hits(s, d), v.rules(s))).withColumn("hits", F.array_join("hits", ","))
 
 
-def _judge(s, d):
-    return mt.verdicts(v.candidates(s, d), v.hits(s, d), v.rules(s), v.params(s))
+def _judge(s, d, with_desc=True):
+    w = v.Work(s, d)
+    return mt.verdicts(w.candidates, w.hits, w.rules, w.params, with_desc)
+
+
+def _two_phase(s, d):
+    w = v.Work(s, d)
+    return mt.two_phase_verdicts(w.candidates, w.hits, w.rules, w.params)
 
 
 @query(["full_status"], "SELECT alert, id, status, CASE WHEN excluded_by IS NOT NULL THEN 0 ELSE raw END AS score, CASE WHEN excluded_by IS NOT NULL THEN 0 ELSE missing END::INT AS n_missing, excluded_by FROM full_status")
@@ -259,18 +274,18 @@ def verdict(s, d):
 
 @query(["two_phase"], "SELECT alert, id, status, score FROM two_phase")
 def two_phase_verdict(s, d):
-    return mt.two_phase_verdicts(v.candidates(s, d), v.hits(s, d), v.rules(s), v.params(s)).select("alert", "id", "status", "score")
+    return _two_phase(s, d).select("alert", "id", "status", "score")
 
 
 @query(["undecided", "candidates"], "SELECT alert, id FROM undecided JOIN candidates USING (alert, id) ORDER BY pos, alert LIMIT 80")
 def detail_budget(s, d):
-    first = mt.verdicts(v.candidates(s, d), v.hits(s, d), v.rules(s), v.params(s), with_desc=False)
-    return mt.detail_budget(first.filter("needs_description"), 80, ["pos", "alert"]).select("alert", "id")
+    return mt.detail_budget(_judge(s, d, with_desc=False).filter("needs_description"), 80, ["pos", "alert"]).select("alert", "id")
 
 
 @query(["two_phase"], "SELECT alert, id, status, score FROM two_phase WHERE status <> 'reject'")
 def match_alerts(s, d):
-    return mt.match_alerts(v.prepped(s, d), v.candidates(s, d), v.rules(s), v.params(s)).select("alert", "id", "status", "score")
+    w = v.Work(s, d)
+    return mt.match_alerts(w.listings, w.candidates, w.rules, w.params, w.hits).select("alert", "id", "status", "score")
 
 
 @query(
@@ -354,16 +369,17 @@ def flag_deals(s, d):
     f"SELECT l.id, t.alert, a.label AS alert_label, '{v.PREFIX}' || l.id AS url, l.name, l.price, t.status, t.score, coalesce(l.price <= a.target_price, FALSE) AS target_hit FROM two_phase t JOIN listings l USING (id) JOIN alerts a USING (alert) WHERE t.status <> 'reject'",
 )
 def make_entries(s, d):
-    judged = mt.two_phase_verdicts(v.candidates(s, d), v.hits(s, d), v.rules(s), v.params(s)).filter("status != 'reject'")
+    judged = _two_phase(s, d).filter("status != 'reject'")
     m = judged.join(v.listings(s, d).drop("status"), "id").withColumns({"deal": F.lit(False), "relist": F.lit(False)})
     e = fd.make_entries(m, v.alerts(s), F.col("status"), v.now(), v.PREFIX, "shop")
     return e.select("id", "alert", "alert_label", "url", "name", "price", "status", "score", "target_hit")
 
 
-@query(["feed"], "SELECT id, status FROM feed WHERE pos % 2 = 0 UNION ALL SELECT id, 'match' AS status FROM feed WHERE pos % 3 = 0 AND pos % 2 <> 0")
+@query(["feed"], "SELECT id, CASE WHEN pos % 2 = 0 THEN status ELSE 'match' END AS status FROM feed")
 def merge_feed(s, d):
+    """The even events are the feed; the new entries are the odd ones and every third, some of which the feed has."""
     f = v.feed(s, d).select("id", "status", "pos")
-    return fd.merge_feed(f.filter("pos % 2 = 0"), f.filter("pos % 3 = 0").withColumn("status", F.lit("match"))).select("id", "status")
+    return fd.merge_feed(f.filter("pos % 2 = 0"), f.filter("pos % 2 = 1 or pos % 3 = 0").withColumn("status", F.lit("match"))).select("id", "status")
 
 
 @query(["feed"], "SELECT id FROM feed WHERE detected_at >= (SELECT max(detected_at) FROM feed) - INTERVAL 45 DAY ORDER BY pos DESC LIMIT 400")
@@ -394,23 +410,21 @@ def alert_status(s, d):
 
 @query(
     ["two_phase", "alerts", "listings"],
-    f"""SELECT alert, label, section, n, lines FROM (SELECT alert, CASE t.status WHEN 'match' THEN 'match' ELSE 'borderline' END AS section, any_value(a.label) AS label, count(*) AS n,
-    sha256(string_agg(CASE WHEN t.status = 'match' THEN l.name ELSE printf('[%.2f] ', t.score) || l.name END || ' | ' || format('{{:,}}', l.price::BIGINT) || ' | {v.PREFIX}' || l.id, chr(10) ORDER BY t.pos)) AS lines
-    FROM (SELECT *, row_number() OVER (PARTITION BY alert, status ORDER BY pos) AS k FROM two_phase WHERE status <> 'reject') t JOIN listings l USING (id) JOIN alerts a USING (alert) WHERE t.status = 'match' OR k <= 8 GROUP BY alert, section)""",
+    f"""SELECT alert, label, section, count(*) OVER (PARTITION BY alert, section) AS n, pos, id, line FROM (SELECT t.alert, t.id, t.pos, a.label, CASE t.status WHEN 'match' THEN 'match' ELSE 'borderline' END AS section,
+    CASE WHEN t.status = 'match' THEN l.name ELSE printf('[%.2f] ', t.score) || l.name END || ' | ' || format('{{:,}}', l.price::BIGINT) || ' | {v.PREFIX}' || l.id AS line
+    FROM (SELECT *, row_number() OVER (PARTITION BY alert, status ORDER BY pos) AS k FROM two_phase WHERE status <> 'reject') t JOIN listings l USING (id) JOIN alerts a USING (alert) WHERE t.status = 'match' OR k <= 8)""",
 )
 def digest(s, d):
-    judged = mt.two_phase_verdicts(v.candidates(s, d), v.hits(s, d), v.rules(s), v.params(s))
-    m = judged.join(v.listings(s, d).select("id", "name", "price"), "id").join(v.alerts(s).select(F.col("name").alias("alert"), "label"), "alert")
+    m = _two_phase(s, d).join(v.listings(s, d).select("id", "name", "price"), "id").join(v.alerts(s).select(F.col("name").alias("alert"), "label"), "alert")
     cols = ["alert", "label", "pos", "id", "name", "price", "score"]
-    out = fd.digest(m.filter("status = 'match'").select(*cols), m.filter("status = 'borderline'").select(*cols), v.PREFIX)
-    return out.withColumn("lines", F.sha2(F.array_join("lines", "\n"), 256))
+    return fd.digest(m.filter("status = 'match'").select(*cols), m.filter("status = 'borderline'").select(*cols), v.PREFIX)
 
 
 # reports -----------------------------------------------------------------------------------
 
 
 def _sold(s, d):
-    judged = mt.two_phase_verdicts(v.candidates(s, d), v.hits(s, d), v.rules(s), v.params(s)).filter("status = 'match'").select("alert", "id", "pos")
+    judged = _two_phase(s, d).filter("status = 'match'").select("alert", "id", "pos")
     return judged.join(v.listings(s, d).filter("status = 'sold'").select("id", "price"), "id")
 
 
@@ -430,7 +444,7 @@ def recent_sold(s, d):
     any_value(p.min_score)::DOUBLE AS min_score, any_value(len(rejected_ids))::INT AS hidden_rejected FROM alerts a JOIN params p USING (alert) LEFT JOIN two_phase t USING (alert) LEFT JOIN listings l USING (id) GROUP BY a.alert""",
 )
 def preview_summary(s, d):
-    judged = mt.two_phase_verdicts(v.candidates(s, d), v.hits(s, d), v.rules(s), v.params(s)).select("alert", "id", "status").join(v.listings(s, d).select("id", "created"), "id")
+    judged = _two_phase(s, d).select("alert", "id", "status").join(v.listings(s, d).select("id", "created"), "id")
     return rp.preview_summary(judged, v.params(s), v.alerts(s), F.to_timestamp(F.lit("2024-01-02 03:00:00")))
 
 
@@ -439,7 +453,7 @@ def preview_summary(s, d):
     "SELECT alert, id, status, place FROM (SELECT alert, id, status, row_number() OVER (PARTITION BY alert, status ORDER BY score DESC, pos) AS place FROM two_phase WHERE status <> 'reject') WHERE place <= CASE WHEN status = 'match' THEN 24 ELSE 8 END",
 )
 def preview_sample(s, d):
-    judged = mt.two_phase_verdicts(v.candidates(s, d), v.hits(s, d), v.rules(s), v.params(s)).join(v.listings(s, d).select("id", "name", "description"), "id")
+    judged = _two_phase(s, d).join(v.listings(s, d).select("id", "name", "description"), "id")
     return rp.preview_sample(judged).select("alert", "id", "status", "place")
 
 
@@ -452,36 +466,117 @@ def _examples(s, d):
     return x.select(F.floor(F.col("doc_id") / 16).cast("string").alias("label_id"), F.col("doc_id").alias("ex_ord"), F.col("quality").alias("polarity"), F.col("doc_id").cast("string").alias("item_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("name"), F.col("text").alias("description"))
 
 
-def _ranked(s, d):
-    p = ln.prepared_examples(_examples(s, d)).filter("polarity = 1").persist()
-    return ln.rank_candidates(ln.sized(ln.candidate_df(ln.collect_candidates(p), p), p)).persist(), p
+class _Learn:
+    """The steps of learning up to the ranked terms, for one query: each stored, as several read it."""
+
+    def __init__(self, s: SparkSession, d: str) -> None:
+        p = stored(ht.prepared(_examples(s, d)), "examples")
+        self.pos, self.neg = p.filter("polarity = 1"), p.filter("polarity = 0")
+        self.terms = stored(ln.collect_candidates(self.pos), "terms")
+        self.df = stored(ln.sized(ln.candidate_df(self.terms, self.pos), self.pos), "term-df")
+        nested = stored(ln.nested_terms(self.df), "nested-terms")
+        ask = stored(ln.counted_terms(ln.drop_redundant(ln.rank_candidates(self.df), nested)), "asked-terms")
+        self.counts = stored(ask.join(ht.term_counts(v.prepped(s, d), ask), "term_t"), "term-counts")
+        self.ranked = stored(ln.rank_candidates(self.df, self.counts.select("surface", "listings").distinct()), "ranks")
+        self.kept = stored(ln.drop_redundant(self.ranked, nested), "kept-terms")
+        self.live = ln.live_negatives(self.neg)
+
+    def signals(self) -> DataFrame:
+        return stored(ln.learn_signals(ln.neg_penalty(self.kept, self.live)), "signals")
+
+    def judged(self) -> tuple[DataFrame, DataFrame]:
+        signals = self.signals()
+        rules = stored(ln.as_rules(signals, ln.learn_require(self.kept), ln.learn_excludes(self.pos, self.neg)), "learned-rules")
+        params = rules.select("alert").distinct().select("alert", F.lit(4.0).alias("min_score"), F.lit(0.55).alias("borderline_ratio"), F.lit("full").alias("scope"))
+        return signals, stored(ln.judge_examples(self.pos.unionByName(self.live), rules, params), "judged")
+
+
+@query()
+def collect_candidates(s, d):
+    return ln.collect_candidates(ht.prepared(_examples(s, d))).select("label_id", "term_t", "surface", "first_seen.*")
+
+
+@query()
+def candidate_df(s, d):
+    return _Learn(s, d).df.select("label_id", "term_t", "df_all", "df_title", "n")
 
 
 @query()
 def rank_candidates(s, d):
-    r, _ = _ranked(s, d)
-    return r.select("label_id", "term_t", "surface", "df_all", "df_title", "n", "hint", "rank")
+    return _Learn(s, d).ranked.select("label_id", "term_t", "surface", "df_all", "df_title", "n", "hint", "listings", "idf", "rank")
 
 
 @query()
 def drop_redundant(s, d):
-    return ln.drop_redundant(_ranked(s, d)[0]).select("label_id", "term_t", "df_all", "rank")
+    return _Learn(s, d).kept.select("label_id", "term_t", "df_all", "rank")
+
+
+_EXAMPLES = "SELECT (d.doc_id // 16)::VARCHAR AS label_id, d.doc_id AS ex_ord, quality AS polarity, p.t_title, p.s_title, p.t_desc, p.s_desc FROM documents d JOIN labels USING (doc_id) JOIN prepped p ON p.id = 'm' || lpad(d.doc_id::VARCHAR, 8, '0')"
+
+
+@query(["prepped"], f"SELECT label_id, ex_ord FROM ({_EXAMPLES}) e WHERE polarity = 0 AND NOT EXISTS (SELECT 1 FROM (VALUES {_DEFAULTS}) w(term_t) WHERE {v._hit('w.term_t', 'e.t_title', 'e.s_title')} OR {v._hit('w.term_t', 'e.t_desc', 'e.s_desc')})")
+def live_negatives(s, d):
+    return ln.live_negatives(ht.prepared(_examples(s, d)).filter("polarity = 0")).select("label_id", "ex_ord")
+
+
+@query()
+def neg_penalty(s, d):
+    x = _Learn(s, d)
+    return ln.neg_penalty(x.kept, x.live).select("label_id", "term_t", "penalty")
 
 
 @query()
 def learn_signals(s, d):
-    r, _ = _ranked(s, d)
-    kept = ln.drop_redundant(r)
-    live = ln.live_negatives(ln.prepared_examples(_examples(s, d)).filter("polarity = 0"))
-    return ln.learn_signals(ln.neg_penalty(kept, live))
+    return _Learn(s, d).signals()
 
 
 @query()
 def learn_excludes(s, d):
-    p = ln.prepared_examples(_examples(s, d))
+    p = stored(ht.prepared(_examples(s, d)), "examples")
     return ln.learn_excludes(p.filter("polarity = 1"), p.filter("polarity = 0"))
 
 
+@query()
+def learn_require(s, d):
+    return ln.learn_require(_Learn(s, d).kept)
+
+
+@query()
+def learn_threshold(s, d):
+    signals, judged = _Learn(s, d).judged()
+    return ln.learn_threshold(signals, judged, True)
+
+
+@query()
+def build_queries(s, d):
+    x = _Learn(s, d)
+    return ln.build_queries(x.ranked, x.kept, x.pos)
+
+
+@query()
+def coverage_grid(s, d):
+    x = _Learn(s, d)
+    return ln.coverage_grid(stored(ln.build_queries(x.ranked, x.kept, x.pos), "queries"), x.pos)
+
+
+@query()
+def specificity_report(s, d):
+    x = _Learn(s, d)
+    return ln.specificity_report(x.counts, x.signals())
+
+
+@query()
+def scoring_report(s, d):
+    return ln.scoring_report(_Learn(s, d).judged()[1]).select("label_id", "polarity", "ex_ord", "status", "score", "excluded_by", "verdict")
+
+
+@query()
+def learn_alert(s, d):
+    e = _examples(s, d)
+    out = ln.learned_alert(ln.learn_alerts(e, v.prepped(s, d)), e)
+    return out.select("name", "label", "queries", "match", "learned_from")
+
+
 # refining ----------------------------------------------------------------------------------
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tight
 from ..operators.hits import prepared, term_hits
-from ..operators.retrieve import query_matches
+from ..operators.retrieve import query_matches, query_terms
 from ..sources.alerts import _row, alert_defaults, alerts_of, flatten_rules, rule_params
+from ..sources.store import stored
 
 ALERTS = [
     {
@@ -80,14 +81,24 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_hits(prepped(spark, sf_dir), rules(spark))
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_matches(prepped(spark, sf_dir), alerts(spark).filter("not paused"))
+class Work:
+    """What the queries on matching share, for one of them: the hits of all
+    rules and searches, and the candidates; hits and candidates are written once and read by each step."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        live = stored(alerts(spark).filter("not paused"), "alerts")
+        self.rules, self.params = stored(rules(spark), "rules"), stored(params(spark), "params")
+        self.listings = listings(spark, sf_dir)
+        words = self.rules.select("term_t").union(query_terms(live))
+        self.hits = stored(term_hits(prepared(self.listings), words), "hits")
+        self.matches = query_matches(self.listings, live, self.hits)
+        # every listing that any query of an alert finds; pos is its number
+        found = self.matches.select("alert", "id").distinct().withColumn("pos", F.substring("id", 2, 8).cast("long"))
+        self.candidates = stored(found, "candidates")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every listing that any query of an alert finds; pos is its number."""
-    d = matches(spark, sf_dir).select("alert", "id").distinct()
-    return d.withColumn("pos", F.substring("id", 2, 8).cast("long"))
+    return Work(spark, sf_dir).candidates
 
 
 def runs(spark: SparkSession) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import retrieve as rt
 from ..operators import state as st
 from ..operators.hits import prepared, term_hits
 from ..sources.alerts import flatten_rules, rule_params
+from ..sources.store import stored
 
 
 def watch_run(
@@ -19,14 +20,16 @@ def watch_run(
 ) -> dict[str, DataFrame]:
     """entries, seen, fingerprints, prices, runs and judged after one run. A dry run judges every
     candidate and returns the state as it was."""
-    prepped = prepared(listings)
+    prepped = stored(prepared(listings), "prepared")  # read by retrieval, scoring and the feed
     due = alerts.filter(~F.col("paused")) if dry_run else rt.active_alerts(alerts, runs, now)
-    rules, params = flatten_rules(due), rule_params(due)
-    found = rt.drop_rejected(rt.search_listings(rt.query_matches(prepped, due), due), due)
+    due = stored(due, "due-alerts")
+    rules, params = stored(flatten_rules(due), "rules"), stored(rule_params(due), "params")
+    hits = stored(term_hits(prepped, rules.select("term_t").union(rt.query_terms(due))), "hits")
+    found = rt.drop_rejected(rt.search_listings(rt.query_matches(prepped, due, hits), due), due)
     pooled = st.baseline_first_run(rt.pool_candidates(found), runs)
     known = seen.select("alert", "id", F.lit(True).alias("known")).dropDuplicates(["alert", "id"])
     fresh = pooled.join(known, ["alert", "id"], "left").filter(F.lit(dry_run) | F.col("first_run") | F.col("known").isNull()).drop("known")
-    judged = mt.two_phase_verdicts(fresh, term_hits(prepped, rules), rules, params, budget, ["alert", "pos"])
+    judged = mt.two_phase_verdicts(fresh, hits, rules, params, budget, ["alert", "pos"])
     wide = prepped.select("id", "name", "price", "thumbnail", "seller_id", "condition_id", "created", "t_title")
     judged = judged.join(wide, "id").withColumn("fp", fingerprint(F.col("t_title"), F.col("price"), F.col("seller_id")))
     match = st.flag_relists(judged.filter("status = 'match'"), fingerprints, ["alert", "pos"], within_run=not dry_run)

@@ -3,21 +3,27 @@
 The automaton reads tokens; a token sequence labels a path exactly if BPE produces it. It starts
 as one state with a loop for every byte. Each merge u + v -> w, in order of priority, adds a
 gadget: arcs labelled u now lead to a copy of their target that lacks the arc v, and wherever u
-then v could be read, an arc w leads to where v led. So a state is known by the last token, and
-what it has lost is
-
-    lost(t) = the v of merges (y, v) where y is t, or where y is on t's right spine and the merge
-              came before the token that swallowed y,
-
-while an arc labelled x entered a state only if its left spine survived there until x was made.
-A token x may follow t unless some merge (y, z), y on t's right spine and z on x's left spine,
-came before y's parent and not after z's parent. `Automaton.follows` is this table, filled in
-as pairs are first met and kept in a direct-mapped array.
-
-Encoding reads a pre-split word's bytes: a trie walk lists the tokens that start at a place, and
-the arc table says which of them continue the path of the prefix. The path of every prefix is
-unique, so a pass from left to right settles it. Words of a batch advance together in numpy.
-Decoding emits the labels of the arcs, byte strings, one after another.
+then v could be read, an arc w leads to where v led. So the state that a token leads to is known
+by what it has lost:
+
+    lost(t) = the (v, merge) of merges y + v where y is t, or where y is on t's right spine and the
+              merge came before the token that swallowed y: w takes over what v had lost so far,
+
+and tokens that have lost the same share a state. An arc labelled x is in a state unless that has
+lost some z on x's left spine while z was still free, that is by a merge not after the one that
+swallowed z. `compile_states` makes the states and, for each, the arcs lost, as flat arrays; the
+arcs that are left, some 50,000 in each state, are read from these and kept by (state, label) as
+they are met.
+
+Encoding reads a pre-split word's bytes: a double-array trie lists the tokens that start at a
+place, and the arc table says which of them continue the path of the prefix. The path of every
+prefix is unique, so a pass from left to right settles it. Words of a batch advance together in
+numpy. Decoding emits the labels of the arcs, byte strings, one after another.
+
+Defined results: a null or empty text has no tokens. Rows are encoded alone, whole; repeated rows
+give repeated results, an empty table an empty one. Columns of the input are carried along,
+whatever their names; those made here start with `bpe_`, and an input column of the same name
+gives way.
 """
 
 from __future__ import annotations
@@ -81,60 +87,119 @@ class Automaton:
         order = np.argsort(np.array(pair, np.int64), kind="stable")
         self.pair = np.array(pair, np.int64)[order]
         self.when = np.array(when, np.int64)[order]
+        self.compile_states()
         self.keys = np.full(SLOTS, -1, np.int64)
         self.vals = np.zeros(SLOTS, bool)
         # a token is an arc only if its halves could follow one another when it was made
         made = np.flatnonzero(self.made >= 0)
         usable = np.ones(size, bool)
-        usable[made] = self._resolve(self.left[made], self.right[made], self.made[made])
+        usable[made] = self.arcs(self.state[self.left[made]], self.right[made], self.made[made])
         self._trie({self.labels[i]: i for w, i in vocab.items() if w not in self.special and usable[i]})
 
+    def compile_states(self) -> None:
+        """`state` of each token, and the arcs lost in each state: the places `lost_at[s]` to
+        `lost_at[s + 1]` of `lost` (label, ascending) and `lost_by` (the earliest merge)."""
+        n = len(self.labels)
+        first = np.searchsorted(self.pair, np.arange(n + 1) << 20)
+        token, y, until = np.arange(n), np.arange(n), np.full(n, FOREVER)
+        found = []
+        while len(token):
+            count = first[y + 1] - first[y]
+            row = np.repeat(np.arange(len(token)), count)
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[y][row]
+            free = self.when[at] < until[row]  # y was not yet swallowed
+            found.append((token[row[free]], self.pair[at[free]] & 0xFFFFF, self.when[at[free]]))
+            until, y = self.made[y], self.right[y]
+            more = y >= 0
+            token, y, until = token[more], y[more], until[more]
+        t, z, k = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((k, z, t))
+        t, z, k = t[order], z[order], k[order]
+        once = np.r_[True, (t[1:] != t[:-1]) | (z[1:] != z[:-1])] if len(t) else np.zeros(0, bool)
+        t, z, k = t[once], z[once], k[once]
+        start = np.searchsorted(t, np.arange(n + 1))
+        states: dict[bytes, int] = {}
+        self.state = np.empty(n, np.int64)
+        keep = []
+        for i in range(n):
+            a, b = start[i], start[i + 1]
+            key = z[a:b].tobytes() + k[a:b].tobytes()
+            if key not in states:
+                states[key] = len(states)
+                keep.append((a, b))
+            self.state[i] = states[key]
+        size = np.array([b - a for a, b in keep])
+        at = np.concatenate([np.arange(a, b) for a, b in keep]) if keep else np.zeros(0, np.int64)
+        self.lost_at = np.concatenate([[0], np.cumsum(size)])
+        self.lost, self.lost_by = z[at].astype(np.int32), k[at].astype(np.int32)
+        self.lost_key = np.repeat(np.arange(len(keep)), size) << 20 | self.lost
+
     def _trie(self, tokens: dict[bytes, int]) -> None:
-        nodes: dict[bytes, int] = {b"": 0}
+        """A double array: from node s byte c leads to base[s] + c if check there is s."""
+        children: dict[bytes, list[int]] = {b"": []}
         for t in tokens:
             for k in range(1, len(t) + 1):
-                nodes.setdefault(t[:k], len(nodes))
-        self.goto = np.full((len(nodes), 256), -1, np.int32)
-        self.token = np.full(len(nodes), -1, np.int32)
-        for prefix, n in nodes.items():
-            if prefix:
-                self.goto[nodes[prefix[:-1]], prefix[-1]] = n
+                if t[:k] not in children:
+                    children[t[:k]] = []
+                    children[t[: k - 1]].append(t[k - 1])
+        room = 4 * len(children) + 1024
+        used = bytearray(room)
+        self.base, self.check = np.zeros(room, np.int32), np.full(room, -1, np.int32)
+        self.token = np.full(room, -1, np.int32)
+        slot = {b"": 0}
+        used[0] = 1
+        low = far = 256  # nodes of one child fill the gaps, others go on from the last of their kind
+        todo = [b""]
+        while todo:  # by levels, so that a node has its place before its children get theirs
+            below = []
+            for prefix in sorted(todo, key=lambda p: -len(children[p])):
+                kids = sorted(children[prefix])
+                if not kids:
+                    continue
+                low = used.find(0, low)
+                at = low if len(kids) == 1 else used.find(0, max(low, far))
+                while any(used[at - kids[0] + c] for c in kids[1:]):
+                    at = used.find(0, at + 1)
+                if len(kids) > 1:
+                    far = at
+                here, base = slot[prefix], at - kids[0]
+                self.base[here] = base
+                for c in kids:
+                    used[base + c] = 1
+                    self.check[base + c] = here
+                    slot[prefix + bytes([c])] = base + c
+                    below.append(prefix + bytes([c]))
+            todo = below
         for t, i in tokens.items():
-            self.token[nodes[t]] = i
-
-    def _resolve(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
-        """May b follow a (once the merges before `until` are in): a walk over both spines."""
-        ok = np.ones(len(a), bool)
-        until = np.full(len(a), FOREVER) if until is None else until
-        y, ty, rows = a, until.copy(), np.arange(len(a))
+            self.token[slot[t]] = i
+        end = max(slot.values()) + 257
+        self.base, self.check, self.token = self.base[:end].copy(), self.check[:end].copy(), self.token[:end].copy()
+
+    def arcs(self, state: np.ndarray, label: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
+        """Has the state the arc (once the merges before `until` are in)?"""
+        ok = np.ones(len(label), bool)
+        until = np.full(len(label), FOREVER) if until is None else until
+        rows, z, swallowed = np.arange(len(label)), label, until.copy()
         while len(rows):
-            z, tz, at = b[rows], until[rows], np.arange(len(rows))
-            while len(at):
-                key = y[at] << 20 | z[at]
-                p = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-                k = self.when[p]
-                bad = (self.pair[p] == key) & (k < ty[at]) & (k <= tz[at]) & (k < until[rows[at]])
-                ok[rows[at[bad]]] = False
-                go = self.left[z[at]] >= 0
-                tz[at] = self.made[z[at]]
-                z[at] = self.left[z[at]]
-                at = at[go]
-            ty, y = self.made[y], self.right[y]
-            go = y >= 0
-            y, ty, rows = y[go], ty[go], rows[go]
+            key = state[rows] << 20 | z
+            at = np.minimum(np.searchsorted(self.lost_key, key), len(self.lost_key) - 1)
+            by = self.lost_by[at]
+            ok[rows[(self.lost_key[at] == key) & (by <= swallowed) & (by < until[rows])]] = False
+            go = self.left[z] >= 0
+            swallowed, z, rows = self.made[z][go], self.left[z][go], rows[go]
         return ok
 
     def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The arc table: True where token b may follow token a (a < 0: the start)."""
+        """True where token b may follow token a (a < 0: the start)."""
         a = a.astype(np.int64)
         b = b.astype(np.int64)
-        key = a << 20 | b
+        key = self.state[a] << 20 | b
         slot = (key * 0x9E3779B1 >> 12) & (SLOTS - 1)
         out = self.vals[slot]
         new = (self.keys[slot] != key) & (a >= 0)
         if new.any():
             fresh, back = np.unique(key[new], return_inverse=True)
-            got = self._resolve(fresh >> 20, fresh & 0xFFFFF)
+            got = self.arcs(fresh >> 20, fresh & 0xFFFFF)
             out[new] = got[back]
             slot = (fresh * 0x9E3779B1 >> 12) & (SLOTS - 1)
             self.keys[slot], self.vals[slot] = fresh, got
@@ -156,10 +221,10 @@ class Automaton:
                 rows = rows[last[rows, j] >= 0]
             node, e = np.zeros(len(rows), np.int32), j
             while len(rows):
-                node = self.goto[node, text[rows, e]]
+                slot = self.base[node] + text[rows, e]
                 e += 1
-                live = node >= 0
-                rows, node = rows[live], node[live]
+                live = self.check[slot] == node
+                rows, node = rows[live], slot[live]
                 token = self.token[node]
                 has = np.flatnonzero(token >= 0)
                 if len(has):
@@ -181,12 +246,13 @@ class Automaton:
         """A word of any length: the frontier of open places is as wide as the longest token."""
         n = len(word)
         last = array("i", [-1]) * (n + 1)
-        goto, token = self.goto, self.token
+        base, check, token = self.base, self.check, self.token
         for j in range(n):
             if j and last[j] < 0:
                 continue
             node, e, ends, ids = 0, j, [], []
-            while e < n and (node := int(goto[node, word[e]])) >= 0:
+            while e < n and check[slot := int(base[node]) + word[e]] == node:
+                node = slot
                 e += 1
                 if (t := int(token[node])) >= 0:
                     ends.append(e)

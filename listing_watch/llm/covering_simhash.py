@@ -37,6 +37,8 @@ BITS = 64
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
+HOT_KEYS = 10_000
+HOT_ROWS = 500
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
@@ -124,17 +126,31 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def attach(rows: DataFrame, target: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with `value` of target (key, k, value; k rows have that key), by key.
+
+    Keys of many rows would each be one task of the join. They are those of at least a
+    HOT_KEYS-th of all rows, so at most HOT_KEYS, and go to their rows by broadcast; only the
+    others are shuffled."""
+    least = max(HOT_ROWS, (target.agg(F.sum("k")).first()[0] or 0) // HOT_KEYS)
+    hot = target.filter(F.col("k") >= least).select(key, F.col(value).alias("hot_value"))
+    d = rows.join(F.broadcast(hot), key, "left")
+    done = d.filter("hot_value is not null").select(*rows.columns, F.col("hot_value").alias(value))
+    rest = d.filter("hot_value is null").drop("hot_value").join(target.filter(F.col("k") < least).select(key, value), key)
+    return done.unionByName(rest.select(*rows.columns, value))
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: `id_col`, `sh_fp`, `sh_component` (the smallest id reachable)."""
     fp = stored(fingerprints(docs, text_col, [id_col]), "fingerprints")
-    ids = fp.groupBy("sh_fp").agg(F.min(id_col).alias("sh_min"))
+    ids = fp.groupBy("sh_fp").agg(F.min(id_col).alias("sh_min"), F.count("*").alias("k"))
     ids = stored(ids, "fingerprint-ids")
     comp = components(links(ids.select("sh_fp")))
     linked = ids.join(comp, ids.sh_fp == comp.node).select("sh_fp", "root", "sh_min")
     roots = linked.groupBy("root").agg(F.min("sh_min").alias("sh_component"))
     moved = linked.join(roots, "root").select("sh_fp", F.col("sh_component").alias("sh_moved"))
-    target = ids.join(moved, "sh_fp", "left").select("sh_fp", F.coalesce("sh_moved", "sh_min").alias("sh_component"))
-    return fp.join(target, "sh_fp").select(id_col, "sh_fp", "sh_component")
+    target = ids.join(moved, "sh_fp", "left").select("sh_fp", "k", F.coalesce("sh_moved", "sh_min").alias("sh_component"))
+    return attach(fp, stored(target, "fingerprint-components"), "sh_fp", "sh_component").select(id_col, "sh_fp", "sh_component")
 
 
 def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

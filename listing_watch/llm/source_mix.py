@@ -1,11 +1,13 @@
 """Mixing sources to target weights, by blocks.
 
 Each source's words form a stream that is packed into blocks of BLOCK words. A source has a whole
-number of slots, its mean rounded so that all sum to the total, and output shards of SHARD_SLOTS
-slots deal them out without replacement: the range of shards is halved again and again, and each
-half gets the whole part of its mean of each source's slots, the rest drawn with the range as
-seed. So each source's slots sum to its number over all shards, and none is dropped. Its slots
-are numbered over the shards, and slot k reads block perm(k mod blocks), where perm is the
+number of slots, its mean rounded so that all sum to the total. Output shards of SHARD_SLOTS slots
+draw multinomial source counts, under the condition that each source's counts sum to its number
+over all shards (a multivariate hypergeometric law), so that none is above its limit and none is
+dropped. Any shard's counts are drawn alone: the range of shards is halved again and again, and
+what the lower half gets is drawn with the range as seed. Ranges of WIDE slots and more, where
+numpy has no such draw, give each half the whole part of its mean and draw the rest. A source's
+slots are numbered over the shards, and slot k reads block perm(k mod blocks), where perm is the
 pseudorandom permutation of the source's block numbers for pass k div blocks (a Feistel network
 walked until it lands inside). Slots and blocks meet in a join on (source, block), so a source
 that holds a third of all rows is spread over its block numbers.
@@ -31,7 +33,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ SHARE = 1.5
 LIMIT = 2
 BLOCK = 64
 SHARD_SLOTS = 4096
+WIDE = 10**9
 SEED = 20_011
 WORD = re.compile(r"[^ \t-\r]+[ \t-\r]*")
 
@@ -78,9 +80,12 @@ def totals(means: np.ndarray, most: np.ndarray) -> np.ndarray:
 
 
 def split(have: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
-    """How much of each count goes to the first n of all: the whole part of each mean, and one
-    more for as many as are missing, each with the chance of its fraction. Exact, in whole numbers."""
+    """How much of each count goes to n of all, drawn without replacement. From WIDE on it is the
+    whole part of each mean, and one more for as many as are missing, each with the chance of its
+    fraction. Exact, in whole numbers."""
     total = int(have.sum())
+    if total < WIDE:
+        return np.random.default_rng(seed).multivariate_hypergeometric(have, n, method="marginals")
     share = have.astype(object) * n
     base, rest = share // total, share % total
     ends = np.cumsum(rest) + int(np.random.default_rng(seed).integers(total))
@@ -140,27 +145,20 @@ def _slots(spark: SparkSession, plan: list[tuple[str | None, int, int, float]],
     shards = max(1, -(-total // shard_slots))
     keys = np.array([zlib.crc32(b"\x00" if s is None else b"\x01" + s.encode("utf-8", "replace")) for s, *_ in plan], np.int64)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for shard in pdf["id"].tolist():
+    names = ["mx_shard", "mx_slot", "mx_of", "mx_block", "mx_pass"]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard in b.column(0).to_pylist():
                 start, got = deal(sums, shard, shards, shard_slots)
-                of = np.flatnonzero(got)
-                yield pd.DataFrame({"mx_shard": np.int64(shard), "mx_of": of.astype(np.int32), "mx_first": (np.cumsum(got) - got)[of], "mx_n": got[of], "mx_start": start[of]})
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), 512):
-                p = pdf.iloc[a : a + 512]
-                n = p["mx_n"].to_numpy()
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                of = np.repeat(p["mx_of"].to_numpy(), n)
-                k = np.repeat(p["mx_start"].to_numpy(), n) + step
+                of = np.repeat(np.arange(len(got)), got)
+                slot = np.arange(len(of))
+                k = start[of] + slot - (np.cumsum(got) - got)[of]
                 turn = k // blocks[of]
                 at = permute(k % blocks[of], blocks[of], keys[of] + (turn << 33))
-                yield pd.DataFrame({"mx_shard": np.repeat(p["mx_shard"].to_numpy(), n), "mx_slot": np.repeat(p["mx_first"].to_numpy(), n) + step, "mx_of": of, "mx_block": at, "mx_pass": turn.astype(np.int32)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), shard)), pa.array(slot), pa.array(of.astype(np.int32)), pa.array(at), pa.array(turn.astype(np.int32))], names=names)
 
-    counts = spark.range(shards if total else 0).mapInPandas(count, "mx_shard long, mx_of int, mx_first long, mx_n long, mx_start long")
-    return counts.mapInPandas(spread, "mx_shard long, mx_slot long, mx_of int, mx_block long, mx_pass int")
+    return spark.range(shards if total else 0).mapInArrow(draw, "mx_shard long, mx_slot long, mx_of int, mx_block long, mx_pass int")
 
 
 def mix(

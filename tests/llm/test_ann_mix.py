@@ -109,3 +109,19 @@ def test_small_sources_get_all_their_slots(spark):
     assert rows.groupby("mx_of").size().tolist() == [56_000, 2, 8, 32, 6]
     assert set(rows.groupby(["mx_of", "mx_block"]).size()[1:]) <= {1, 2} and (rows[rows.mx_of > 0].groupby(["mx_of", "mx_block"]).size() == 2).all()
     assert (rows.groupby("mx_shard").size().iloc[:-1] == 50).all() and not rows.duplicated(["mx_shard", "mx_slot"]).any()
+
+
+def test_shards_draw_without_replacement():
+    have = np.array([5, 0, 9000, 40_000, 1])
+    shards, slots = 12, 4096
+    firsts, counts = zip(*[source_mix.deal(have, i, shards, slots) for i in range(shards)])
+    counts = np.array(counts)
+    assert (counts.sum(axis=0) == have).all() and (counts.sum(axis=1)[:-1] == slots).all()
+    assert (np.array(firsts) == np.cumsum(counts, axis=0) - counts).all()
+    # spread as a draw is, not as means are
+    got = np.array([source_mix.split(np.array([3000, 5000]), 1000, [i])[0] for i in range(400)])
+    want = 1000 * 0.375 * 0.625 * 7000 / 7999
+    assert abs(got.mean() - 375) < 3 and 0.75 * want < got.var() < 1.3 * want
+    wide = np.array([10**11, 3 * 10**11 + 1, 7])
+    part = source_mix.split(wide, 10**11, [1])
+    assert part.sum() == 10**11 and (abs(part - wide * (10**11 / wide.sum())) < 1.01).all()

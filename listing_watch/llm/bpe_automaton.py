@@ -45,7 +45,9 @@ from .common import groups, packed, unpacked
 
 #: Fixed value: the published pre-split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+#: Characters of the texts that are encoded together.
+CHARS = 500_000
 #: Words longer than this many bytes are encoded one by one.
 LONG = 48
 FOREVER = 1 << 30
@@ -340,7 +342,7 @@ def round_trip(docs: DataFrame, vocab: str, text_col: str = "text", keep: list[s
         code = codec(vocab)
         labels, numbers = code.a.labels, [b"%d" % i for i in range(len(code.a.labels))]
         sha = hashlib.sha256
-        for b in groups(batches, 1):
+        for b in groups(batches, 1, CHARS):
             texts = [x or "" for x in b.column(1).to_pylist()]
             rows: list[list] = [[] for _ in made]
             for words in code.encode_batch(texts):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_stable, bpe_automaton, covering_simhash, html_blocks, lang_crf, license_scan, pii_crf, source_mix, wavelet, weak_quality
+from . import ann_stable, bloom_rank, bpe_automaton, covering_simhash, html_blocks, lang_crf, license_scan, line_bloom, pii_crf, qd_whiten, source_mix, wavelet, weak_quality
 from .common import table
 
 
@@ -76,5 +76,37 @@ def op10_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", lang_crf.held_out(F.col("doc_id")).alias("held_out"), F.col("lc_lang").alias("lang_pred"), F.col("lc_score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_pii_crf, op3_stable_kd, op4_html_blocks, op5_weak_quality, op6_license_scan, op7_covering_simhash, op8_source_mix, op9_bpe_automaton, op10_lang_crf)}
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle()}
+def op11_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_bloom.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return d.select("doc_id", F.col("ld_n_lines").alias("n_lines"), F.col("ld_n_dropped").alias("n_dropped"), F.sha2("ld_text", 256).alias("kept_sha256"))
+
+
+def op12_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = qd_whiten.whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return d.select("vec_id", *[F.col(f"qw_{c}").alias(c) for c in ("component", "n", "deviation", "whitened", "explained", "identity_error")])
+
+
+def op13_bloom_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = bloom_rank.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return d.select(F.col("br_item").alias("item_id"), F.col("br_rank").alias("rank"), F.col("br_id").alias("doc_id"), F.col("br_score").alias("score"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_wavelet_tokens,
+        op2_pii_crf,
+        op3_stable_kd,
+        op4_html_blocks,
+        op5_weak_quality,
+        op6_license_scan,
+        op7_covering_simhash,
+        op8_source_mix,
+        op9_bpe_automaton,
+        op10_lang_crf,
+        op11_line_bloom,
+        op12_qd_whitening,
+        op13_bloom_rank,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle(), "op11_line_bloom": line_bloom.oracle(), "op13_bloom_rank": bloom_rank.oracle()}

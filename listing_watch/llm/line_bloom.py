@@ -9,10 +9,10 @@ places, and slices are joined in a tree of FAN tasks a step.
 
 Only keys that the second filter knows are shuffled, as SHA-256 digests with their document's id;
 they are counted exactly, by distinct ids, so what the filter takes wrongly has no effect. A key of
-`least_docs` documents or more stays in that of the largest id only and is dropped elsewhere; of
-the texts, those without any suspected line are never shuffled.
+`least_docs` documents or more stays in that of the largest id only and is dropped elsewhere. A
+filter of the ids that lose lines is broadcast too, so that of the texts only those are shuffled.
 
-Memory is 2 * bits / 8 bytes a task and bits / 8 bytes of second filter broadcast, at any size of the
+Memory is 2 * bits / 8 bytes a task and bits / 8 bytes of each filter broadcast, at any size of the
 table. With N distinct keys and bits = 2^28 about 5e-7 of the once-seen keys are suspected at
 N = 17 million, 0.5 per cent at 67 million and 12 per cent at 134 million. Beyond that more and more
 keys are shuffled, all of them at worst; the result is the same at any filling. Give more bits for
@@ -34,13 +34,13 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import SPACE_CHARS, packed, stored, unpacked
 
@@ -124,19 +124,15 @@ def from_bytes(data: bytes, size: int) -> np.ndarray:
 _PART = "fan int, slice int, once binary, twice binary"
 
 
-def _filled(bits: int, min_chars: int):
+def _filled(bits: int, hashes_of):
+    """Partial filters of the hashes that `hashes_of` makes of a column's batches."""
     size = min(SLICE, bits)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Filters(bits)
         for b in batches:
-            hashes: list[int] = []
-            for text in b.column(0):
-                hashes += map(xxhash.xxh64_intdigest, keys_of(text.as_py(), min_chars))
-                if len(hashes) >= 1 << 16:
-                    f.add(np.array(hashes, np.uint64))
-                    hashes = []
-            f.add(np.array(hashes, np.uint64))
+            for hashes in hashes_of(b.column(0)):
+                f.add(hashes)
         fan = TaskContext.get().partitionId() // FAN
         rows = zip(f.once.reshape(-1, size // 8), f.twice.reshape(-1, size // 8))
         for i, (once, twice) in enumerate(rows):
@@ -146,6 +142,25 @@ def _filled(bits: int, min_chars: int):
     return fill
 
 
+def _line_hashes(min_chars: int):
+    """Of each text the distinct keys, hashed, some texts at a time."""
+
+    def hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+        held: list[int] = []
+        for text in texts:
+            held += map(xxhash.xxh64_intdigest, keys_of(text.as_py(), min_chars))
+            if len(held) >= 1 << 16:
+                yield np.array(held, np.uint64)
+                held = []
+        yield np.array(held, np.uint64)
+
+    return hashes
+
+
+def _as_hashes(longs: pa.Array) -> Iterator[np.ndarray]:
+    yield longs.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
 def _joined(parts: DataFrame, keys: list[str], size: int) -> DataFrame:
     """One row for each of the keys: its slices, which come one after another, joined."""
 
@@ -171,19 +186,23 @@ def _joined(parts: DataFrame, keys: list[str], size: int) -> DataFrame:
     return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, _PART)
 
 
-def repeat_filter(docs: DataFrame, text: str = "text", bits: int = BITS, min_chars: int = MIN_CHARS) -> bytes:
-    """The joint second filter of a table's keys, compressed: every key of two rows is in it."""
+def _joint(column: DataFrame, hashes_of, which: str, bits: int) -> bytes:
+    """The joint filter `which` (once or twice) of a table's only column, compressed."""
     if bits < 8 or bits & (bits - 1):
         raise ValueError("bits must be a power of two")
     size = min(SLICE, bits)
-    parts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_filled(bits, min_chars), _PART)
-    parts = _joined(parts, ["fan", "slice"], size).withColumn("fan", F.lit(0))
+    parts = _joined(column.mapInArrow(_filled(bits, hashes_of), _PART), ["fan", "slice"], size).withColumn("fan", F.lit(0))
     whole = np.zeros(bits // 8, np.uint8)
-    for r in _joined(parts, ["slice"], size).select("slice", "twice").toLocalIterator():  # bits / 8 bytes in all
-        whole[r["slice"] * (size // 8) : (r["slice"] + 1) * (size // 8)] = from_bytes(bytes(r["twice"]), size)
+    for r in _joined(parts, ["slice"], size).select("slice", which).toLocalIterator():  # bits / 8 bytes in all
+        whole[r["slice"] * (size // 8) : (r["slice"] + 1) * (size // 8)] = from_bytes(bytes(r[which]), size)
     return zstandard.compress(whole.tobytes(), 1)
 
 
+def repeat_filter(docs: DataFrame, text: str = "text", bits: int = BITS, min_chars: int = MIN_CHARS) -> bytes:
+    """The joint second filter of a table's keys: every key of two rows is in it."""
+    return _joint(docs.select(F.col(f"`{text}`").alias("text")), _line_hashes(min_chars), "twice", bits)
+
+
 _OPENED: dict[str, np.ndarray] = {}
 
 
@@ -240,16 +259,14 @@ def drops(found: DataFrame, keys: DataFrame) -> DataFrame:
     return pairs.filter("id != keep").groupBy("id").agg(F.collect_list("digest").alias("digests"))
 
 
-def _marked(known: Known, min_chars: int):
-    """Adds ld_any: has the text a suspected line?"""
+def _within(known: Known):
+    """A test of 64-bit hashes against a filter."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = known.bitmap()
-        for b in batches:
-            some = [bool(ks) for ks in _suspected(b.column(2).to_pylist(), bitmap, min_chars)]
-            yield pa.record_batch([*b.columns, pa.array(some, pa.bool_())], names=[*b.schema.names, "any"])
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        return pd.Series(within(known.bitmap(), places(hashes.to_numpy(np.int64).view(np.uint64), len(known.bitmap()) * 8)))
 
-    return mark
+    return test
 
 
 def _cut(min_chars: int):
@@ -272,14 +289,16 @@ def _cut(min_chars: int):
 def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, bits: int = BITS, min_chars: int = MIN_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """The columns `keep` of docs (None: all), ld_n_lines, ld_n_dropped, and ld_text without the lines
     that at least `least_docs` documents share, but for those of the largest id."""
-    known = Known(docs.sparkSession, repeat_filter(docs, text, bits, min_chars))
+    spark = docs.sparkSession
+    known = Known(spark, repeat_filter(docs, text, bits, min_chars))
     found = stored(suspects(docs, known, id_col, text, min_chars), "line-suspects")
     lose = stored(drops(found, stored(repeated(found, least_docs), "line-keys")), "line-drops")
+    losers = Known(spark, _joint(lose.select(F.xxhash64("id").alias("h")), _as_hashes, "once", bits))
     d = packed(docs, keep, MADE, id=F.col(f"`{id_col}`"), text=F.col(f"`{text}`"))
-    d = d.mapInArrow(_marked(known, min_chars), T.StructType([*d.schema.fields, T.StructField("any", T.BooleanType())]))
+    d = d.withColumn("may_lose", F.col("id").isNotNull() & _within(losers)(F.xxhash64("id")))
     plain = F.coalesce("text", F.lit(""))
-    clean = d.filter("not any or id is null").select("row", (F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("ld_n_lines"), F.lit(0).cast("long").alias("ld_n_dropped"), plain.alias("ld_text"))
-    rest = d.filter("any and id is not null").select("row", "id", "text").join(lose, "id", "left").select("row", "text", "digests")
+    clean = d.filter("not may_lose").select("row", (F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("ld_n_lines"), F.lit(0).cast("long").alias("ld_n_dropped"), plain.alias("ld_text"))
+    rest = d.filter("may_lose").join(lose.hint("merge"), "id", "left").select("row", "text", "digests")
     return unpacked(clean.unionByName(rest.mapInArrow(_cut(min_chars), clean.schema)), *MADE)
 
 

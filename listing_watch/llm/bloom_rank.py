@@ -108,32 +108,31 @@ class Block:
         return out.tobytes()
 
 
-def presence(slices: np.ndarray, hashes: np.ndarray, level: int) -> np.ndarray:
-    """Bitmaps (term, documents / 8) of the documents that may have each term at a level."""
-    at = places(hashes, level, len(slices))
+def presence(slices: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(term, document) places of the documents that may have each term, by term: the bits set in all
+    the bitmaps of a term."""
+    at = places(hashes, 0, len(slices))
     found = slices[at[:, 0]]
     for i in range(1, HASHES):
-        found = found & slices[at[:, i]]
-    return found
-
-
-def most_often(slices: np.ndarray, hashes: np.ndarray, docs: int) -> np.ndarray:
-    """(term, document) an upper bound of the term's count in the document; 0 where it is not there."""
-    bound = np.zeros((len(hashes), docs), np.int64)
-    live = np.arange(len(hashes))
-    for level in range(len(LEVELS)):
-        have = np.unpackbits(presence(slices, hashes[live], level), axis=1, count=docs, bitorder="little").astype(bool)
-        sub = bound[live]
-        # an entry of a level counts only upon all below it
-        have &= (sub > 0) | (level == 0)
-        if level:
-            have &= sub == LEVELS[level - 1] - 1
-        sub[have] = LEVELS[level] - 1
-        bound[live] = sub
-        live = live[have.any(axis=1)]
+        found &= slices[at[:, i]]
+    term, byte = np.nonzero(found)
+    at, bit = np.nonzero(np.unpackbits(found[term, byte][:, None], axis=1, bitorder="little"))
+    return term[at], byte[at] * 8 + bit
+
+
+def most_often(slices: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, bound): for each term and document that may have it an upper bound of its count."""
+    term, doc = presence(slices, hashes)
+    bound = np.full(len(term), LEVELS[0] - 1, np.int64)
+    live = np.arange(len(term))
+    for level in range(1, len(LEVELS)):
+        # a level's entry counts only upon all below it
+        rows = slices[places(hashes, level, len(slices))[term[live]], (doc[live] >> 3)[:, None]]
+        live = live[((rows >> (doc[live] & 7).astype(np.uint8)[:, None]) & 1).all(axis=1)]
         if not len(live):
             break
-    return bound
+        bound[live] = LEVELS[level] - 1
+    return term, doc, bound
 
 
 def gain(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -229,14 +228,16 @@ class Asked:
     def bounds(self, bits: int, lengths: list[int], slices: bytes) -> Iterator[tuple[int, np.ndarray]]:
         """(item, sums of a block's documents), items that share none of a block's terms left out."""
         rows = np.frombuffer(slices, np.uint8).reshape(bits, -1)
-        m = smoothing(lengths, self.n, self.length)
-        worth = np.zeros((len(self.terms), len(lengths)), np.int64)
-        for a in range(0, len(self.terms), 512):
-            tf = most_often(rows, self.hashes[a : a + 512], len(lengths))
-            worth[a : a + 512] = np.where(tf > 0, gain(tf, m), 0) * self.weights[a : a + 512, None]
+        term, doc, tf = most_often(rows, self.hashes)
+        worth = gain(tf, smoothing(lengths, self.n, self.length)[doc]) * self.weights[term]
+        first = np.searchsorted(term, np.arange(len(self.terms) + 1))
         for i, at in enumerate(self.items):
-            if len(at):
-                yield i, worth[at].sum(axis=0)
+            spans = [(first[t], first[t + 1]) for t in at.tolist() if first[t] < first[t + 1]]
+            if spans:
+                docs = np.concatenate([doc[a:b] for a, b in spans])
+                sums = np.concatenate([worth[a:b] for a, b in spans])
+                # sums stay below 2^53, where doubles are exact
+                yield i, np.bincount(docs, sums, len(lengths)).astype(np.int64)
 
     def scores(self, text: str, wanted: list[int]) -> list[int]:
         """The exact scores of a text for some of the items."""

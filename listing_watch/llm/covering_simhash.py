@@ -104,35 +104,48 @@ def links(fps: DataFrame) -> DataFrame:
     return two.union(stars).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Edges (`a`, `b`) -> (`node`, `root`): the smallest node reachable, for every node that
-    has an edge. Rounds go on until none changes the edges."""
-    edges = stored(edges.select("a", "b"), "star-edges")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    mark = None
-    for _ in range(max_rounds):
+    has an edge. Rounds go on until none changes the edges; each halves the longest way to a
+    root or better, so that their number grows with its logarithm.
+
+    The leaves of a large star all have one neighbour; they meet its smallest by `attach`, in
+    which nodes of many edges are never one task."""
+    edges = stored(edges.select("a", "b").filter("a != b"), "star-edges")
+    mark, rounds = _mark(edges), 0
+    while mark[0]:
+        total = 2 * mark[0]  # at least the rows of each join below
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        low = both.groupBy("a").agg(F.count("*").alias("k"), F.min("b").alias("m")).select("a", "k", F.least("a", "m").alias("m"))
+        large = attach(both, stored(low, "star-lows"), "a", "m", total).filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        large = stored(large, "large-stars")
         # small star: each node's smaller neighbours move to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select("m", F.explode(F.array("a", "b")).alias("x")).filter("m < x").distinct()
+        low = large.groupBy("b").agg(F.count("*").alias("k"), F.min("a").alias("m"))
+        small = attach(large, stored(low, "star-lows"), "b", "m", total).select("m", F.explode(F.array("a", "b")).alias("x")).filter("m < x").distinct()
         edges = stored(small.select(F.col("m").alias("a"), F.col("x").alias("b")), "star-edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("a")).first()
-        if now == mark:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
-        mark = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        was, mark = mark, _mark(edges)
+        if mark == was:
+            break
+        rounds += 1
+        if max_rounds is not None and rounds == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
 
 
-def attach(rows: DataFrame, target: DataFrame, key: str, value: str) -> DataFrame:
+def _mark(edges: DataFrame) -> tuple:
+    """How many edges there are, and what tells a changed set of them."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("a")).first())
+
+
+def attach(rows: DataFrame, target: DataFrame, key: str, value: str, total: int | None = None) -> DataFrame:
     """rows with `value` of target (key, k, value; k rows have that key), by key.
 
     Keys of many rows would each be one task of the join. They are those of at least a
-    HOT_KEYS-th of all rows, so at most HOT_KEYS, and go to their rows by broadcast; only the
-    others are shuffled."""
-    least = max(HOT_ROWS, (target.agg(F.sum("k")).first()[0] or 0) // HOT_KEYS)
+    HOT_KEYS-th of all rows (`total`, or a number above it, where it is known), so at most HOT_KEYS,
+    and go to their rows by broadcast; only the others are shuffled."""
+    if total is None:
+        total = target.agg(F.sum("k")).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_KEYS)
     hot = target.filter(F.col("k") >= least).select(key, F.col(value).alias("hot_value"))
     d = rows.join(F.broadcast(hot), key, "left")
     done = d.filter("hot_value is not null").select(*rows.columns, F.col("hot_value").alias(value))
@@ -146,9 +159,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     ids = fp.groupBy("sh_fp").agg(F.min(id_col).alias("sh_min"), F.count("*").alias("k"))
     ids = stored(ids, "fingerprint-ids")
     comp = components(links(ids.select("sh_fp")))
-    linked = ids.join(comp, ids.sh_fp == comp.node).select("sh_fp", "root", "sh_min")
-    roots = linked.groupBy("root").agg(F.min("sh_min").alias("sh_component"))
-    moved = linked.join(roots, "root").select("sh_fp", F.col("sh_component").alias("sh_moved"))
+    linked = stored(ids.join(comp, ids.sh_fp == comp.node).select("sh_fp", "root", "sh_min"), "linked-fingerprints")
+    roots = linked.groupBy("root").agg(F.count("*").alias("k"), F.min("sh_min").alias("sh_component"))
+    moved = attach(linked, stored(roots, "component-roots"), "root", "sh_component").select("sh_fp", F.col("sh_component").alias("sh_moved"))
     target = ids.join(moved, "sh_fp", "left").select("sh_fp", "k", F.coalesce("sh_moved", "sh_min").alias("sh_component"))
     return attach(fp, stored(target, "fingerprint-components"), "sh_fp", "sh_component").select(id_col, "sh_fp", "sh_component")
 

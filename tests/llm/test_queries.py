@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_source_mix": ("documents", ["doc_id", "size", "source_size", "target", "taken"]),
     "op9_bpe_automaton": ("documents", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]),
     "op10_lang_crf": ("documents", ["doc_id", "held_out", "lang_pred", "score"]),
+    "op11_line_bloom": ("documents", ["doc_id", "n_lines", "n_dropped", "kept_sha256"]),
 }
 
 
@@ -32,6 +33,29 @@ def test_columns_and_rows(spark, name):
         assert [r["rank"] for r in rows if r["query_id"] == 0] and all(1 <= r["rank"] <= 20 for r in rows)
 
 
+def test_whitened_vectors(spark):
+    d = queries.op12_qd_whitening(spark, SF)
+    assert d.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    rows = d.collect()
+    ids = [r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
+    assert sorted((r["vec_id"], r["component"]) for r in rows) == sorted((i, k) for i in ids for k in range(1, 33))
+    assert max(r["identity_error"] for r in rows) < 1e-9 and {r["n"] for r in rows} == {len(ids)}
+
+
+@pytest.mark.parametrize("name", ["op11_line_bloom", "op13_bloom_rank"])
+def test_against_sql(spark, name):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{SF}/{f}'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, SF).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_held_out_languages(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}

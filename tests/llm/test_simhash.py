@@ -67,6 +67,21 @@ def test_long_chain_of_links(spark):
     assert {x["root"] for x in c.components(d).collect()} == {0}
 
 
+def test_a_star_and_its_like_have_no_hot_task(spark):
+    from pyspark.sql import functions as F
+
+    n = 40_000
+    star = spark.range(1, n).select((F.col("id") + 10).alias("a"), F.lit(n).cast("long").alias("b"))  # the middle is not the least
+    tail = spark.createDataFrame([(5, 11), (n + 50, n + 60), (7, 7), (None, 3)], "a long, b long")
+    got = {x["node"]: x["root"] for x in c.components(star.union(tail)).collect()}
+    assert len(got) == n + 2 and got[n] == got[12] == got[11] == got[5] == 5 and got[n + 60] == got[n + 50] == n + 50
+    # rows of the star's middle meet its smallest neighbour by broadcast
+    low = spark.createDataFrame([(n, n, 5)], "b long, k long, m long")
+    plan = c.attach(star, low, "b", "m", 2 * n)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert c.components(tail.limit(0)).count() == 0
+
+
 def test_rows(spark):
     text = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3
     rows = [(7, text, 1), (3, text.upper(), 2), (9, text, 3), (4, None, 4), (2, "", 5), (8, "other words here", 6), (8, "other words here", 6)]

@@ -13,9 +13,9 @@ SHOWN_HITS = 8
 SHOWN_BORDERLINE = 8
 
 
-def make_entries(matches: DataFrame, alerts: DataFrame, status: Column, detected: Column, url_prefix: str, marketplace: str) -> DataFrame:
+def make_entries(matches: DataFrame, alerts: DataFrame, status: Column, detected: Column, url_prefix: str, marketplace: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Feed entries of matches (alert, id, name, price, thumbnail, seller_id, condition_id, created,
-    score, hits, deal, relist)."""
+    score, hits, deal, relist), with the columns `keep` of those behind."""
     a = alerts.select(F.col("name").alias("alert"), F.col("label").alias("alert_label"), "target_price")
     listed = parse_listed_at(F.col("created"))
     return matches.join(a, "alert").select(
@@ -38,6 +38,7 @@ def make_entries(matches: DataFrame, alerts: DataFrame, status: Column, detected
         F.coalesce("deal", F.lit(False)).alias("deal"),
         F.coalesce("relist", F.lit(False)).alias("relist"),
         target_hit(F.col("price"), F.col("target_price")).alias("target_hit"),
+        *keep,
     )
 
 
@@ -47,6 +48,18 @@ def merge_feed(feed: DataFrame, entries: DataFrame) -> DataFrame:
     return feed.unionByName(entries.join(feed.select("id").distinct(), "id", "left_anti"))
 
 
+def feed_order() -> list[Column]:
+    """What was added last comes first, an alert's borderline rows before its matches."""
+    return [F.desc("add_seq"), F.desc("alert"), F.asc(F.col("status") != "borderline"), F.asc("pos"), F.asc("id")]
+
+
+def first_entries(entries: DataFrame) -> DataFrame:
+    """entries of one run, each id once: that of the first alert by name, its match before its
+    borderline row, the earlier place."""
+    w = Window.partitionBy("id").orderBy("alert", F.col("status") == "borderline", "pos")
+    return entries.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
 def prune_feed(feed: DataFrame, now: Column, order: list, days: int = MAX_DAYS, keep: int = MAX_ENTRIES) -> DataFrame:
     """Entries of the last `days` or without a time, the first `keep` in feed order."""
     fresh = F.col("detected_at").isNull() | (F.col("detected_at") >= now - F.make_dt_interval(days=F.lit(days)))

@@ -1,11 +1,12 @@
 """Which terms occur in which listings, and how often.
 
-Up to FEW terms, the usual rule table, are tested in place, one literal after another, so a
-listing's text is read once where it lies and only its hits are shuffled. More terms meet the
-listings in an equi-join on 2-grams: the distinct 2-grams of a listing's tight text, as narrow
-rows, against one 2-gram of each term (the character itself for terms of one), then
-`contains_term` on the pairs that meet. Both give the same rows: one for each id and term, whether
-of one listing or of several that repeat an id."""
+Up to FEW terms, the usual rule table, are tested in place, one literal after another. More, as far
+as `automaton.few_enough` goes, are found by an Aho-Corasick automaton. Either way a listing's text
+is read once where it lies and only its hits are shuffled. Still more terms meet the listings in an
+equi-join on 2-grams: the distinct 2-grams of a listing's tight text, as narrow rows, against one
+2-gram of each term (the character itself for terms of one), then `contains_term` on the pairs that
+meet. All three give the same rows: one for each id and term, whether of one listing or of several
+that repeat an id."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import codes_of, contains_term, fold, nfkc, padded_of, tight_of
 from ..sources.store import spread
+from . import automaton
 
 FEW = 200
 TEXTS = ["t_title", "s_title", "t_desc", "s_desc"]
@@ -54,9 +56,19 @@ def _folded(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys, "id", "term_t").agg(F.bool_or("in_title").alias("in_title"), F.bool_or("in_desc").alias("in_desc"))
 
 
-def hits_within(prepped: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+def hits_within(prepped: DataFrame, terms: DataFrame, keys: list[str], most: int = automaton.MOST) -> DataFrame:
     """(keys, id, term_t, in_title, in_desc): as `term_hits`, each term being looked for in the
-    listings of equal keys only. A large group is spread over its grams."""
+    listings of equal keys only. The terms are looked at, as far as `most`, while the query is put
+    together."""
+    rows = automaton.few_enough(terms, keys, most)
+    if rows is None:
+        return hits_on_grams(prepped, terms, keys)
+    forms = {"in_title": ("t_title", "s_title"), "in_desc": ("t_desc", "s_desc")}
+    return _folded(automaton.find(spread(prepped.select(*keys, "id", *TEXTS)), rows, keys, ["id"], forms), keys)
+
+
+def hits_on_grams(prepped: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """`hits_within` for any number of terms. A large group is spread over its grams."""
     words = terms.select(*keys, "term_t").filter("term_t != ''").distinct()
     texts = prepped.select(*keys, "id", *TEXTS, F.xxhash64(*TEXTS).alias("_h"))
     grams = _grams(F.concat("t_title", F.lit("\0"), "t_desc"), True)

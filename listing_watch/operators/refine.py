@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import spread
+from . import automaton
 from .hits import _gram_of, _grams
 
 MAX_EXCLUDES, MAX_REQUIRES = 12, 8
@@ -30,20 +32,30 @@ def _marks(cards: DataFrame) -> DataFrame:
     return cards.groupBy("alert").agg(F.count_if(m == "confirmed").alias("confirmed"), F.count_if(m == "rejected").alias("rejected"), F.count_if(m.isNull()).alias("unmarked"))
 
 
-def _spread(cards: DataFrame, vocab: DataFrame) -> DataFrame:
+def _spread(cards: DataFrame, vocab: DataFrame, most: int = automaton.MOST) -> DataFrame:
     """(alert, tterm, term, in_confirmed, in_rejected, in_unmarked): how many cards have each term.
 
-    Terms and cards of an alert meet on 2-grams, as terms and listings do, so that an alert with many
-    of both is spread over them; the pairs that meet are tested."""
-    marked = cards.select("alert", "mark", "tt", F.xxhash64("id", "tt", "mark").alias("_card")).groupBy("alert", "_card").agg(F.first("mark").alias("mark"), F.first("tt").alias("tt"), F.count("*").alias("k"))
-    met = marked.select("alert", "_card", F.explode(_grams(F.col("tt"), True)).alias("gram")).join(_gram_of(vocab.select("alert", F.col("tterm").alias("term_t")), ["alert"]), ["alert", "gram"])
-    d = met.select("alert", "_card", F.col("term_t").alias("tterm")).distinct().join(marked, ["alert", "_card"]).filter(F.contains("tt", F.col("tterm")))
+    A card is read once for all terms of its alert; a vocabulary beyond the automaton's bound meets the
+    cards on 2-grams."""
+    rows = automaton.few_enough(vocab.select("alert", F.col("tterm").alias("term_t")), ["alert"], most)
+    if rows is None:
+        d = _on_grams(cards, vocab)
+    else:
+        d = automaton.find(spread(cards.select("alert", "mark", "tt")), rows, ["alert"], ["mark"], {"there": ("tt", "tt")}, guard=False).withColumnRenamed("term_t", "tterm").withColumn("k", F.lit(1))
     m = F.col("mark")
     n = lambda test: F.sum(F.when(test, F.col("k")).otherwise(0)).cast("long")
     g = d.groupBy("alert", "tterm").agg(n(m == "confirmed").alias("in_confirmed"), n(m == "rejected").alias("in_rejected"), n(m.isNull()).alias("in_unmarked"))
     return g.join(vocab, ["alert", "tterm"]).select("alert", "tterm", "term", "in_confirmed", "in_rejected", "in_unmarked")
 
 
+def _on_grams(cards: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(alert, tterm, mark, k): terms and cards of an alert that meet on 2-grams, as terms and listings
+    do, and are found to contain one another; k equal cards are one row."""
+    marked = cards.select("alert", "mark", "tt", F.xxhash64("id", "tt", "mark").alias("_card")).groupBy("alert", "_card").agg(F.first("mark").alias("mark"), F.first("tt").alias("tt"), F.count("*").alias("k"))
+    met = marked.select("alert", "_card", F.explode(_grams(F.col("tt"), True)).alias("gram")).join(_gram_of(vocab.select("alert", F.col("tterm").alias("term_t")), ["alert"]), ["alert", "gram"])
+    return met.select("alert", "_card", F.col("term_t").alias("tterm")).distinct().join(marked, ["alert", "_card"]).filter(F.contains("tt", F.col("tterm")))
+
+
 def own_compound(term: Column, own: Column) -> Column:
     """Of a term nothing of substance is left without the alert's own words, longest first."""
     words = F.array_sort(F.transform(F.filter(own, lambda w: w != ""), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))

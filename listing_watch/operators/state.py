@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 MAX_SEEN = 600
 MAX_PRICES = 60
 MIN_PRICES = 4
@@ -62,11 +64,33 @@ def price_median(prices: DataFrame, least: int = MIN_PRICES) -> DataFrame:
     return prices.groupBy("alert").agg(F.when(F.count("price") >= least, F.median("price")).alias("median"))
 
 
-def rolling_price_median(listings: DataFrame, key: str = "alert", ts: str = "ts", tie: str = "id", price: str = "price", last: int = MAX_PRICES, least: int = MIN_PRICES) -> DataFrame:
-    """listings with median: that of the `last` prices before each, null below `least`."""
-    w = Window.partitionBy(key).orderBy(ts, tie).rowsBetween(-last, -1)
+def rolling_price_median(listings: DataFrame, key: str = "alert", ts: str = "ts", tie: str = "id", price: str = "price", last: int = MAX_PRICES, least: int = MIN_PRICES, parts: int | None = None) -> DataFrame:
+    """listings with median: that of the `last` prices before each in order of ts, tie and price, null
+    below `least`. A null price holds a place among the `last` and is not counted.
+
+    The rows are cut by range of (key, ts, tie, price) into `parts` (the session's shuffle partitions),
+    so that a key of any size lies in many parts in order of time. Each part takes over the last rows
+    of its first key from the parts before it, at most `last` of them, and is then complete in itself.
+    Columns named `_part` and `_carried` are made on the way."""
+    spark = listings.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    line = [key, ts, tie, price]
+    rows = stored(listings.repartitionByRange(n, *line).withColumn("_part", F.spark_partition_id()), "ranges")
+    narrow = rows.select(*line, "_part")
+    # the end of each part: of its last key, whose rows the next part may go on with
+    ends = narrow.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*[F.desc_nulls_last(c) for c in line]))).filter(F.col("_k") <= last)
+    begins = narrow.groupBy("_part").agg(F.min(F.struct(*line)).alias("_f")).select(F.col(f"_f.{key}").alias(key), "_part", F.lit(True).alias("_begin"))
+    # a begin stands before the rows of its own part and behind those of all earlier ones of its key
+    ends = ends.drop("_k").withColumn("_begin", F.lit(False)).unionByName(begins, allowMissingColumns=True)
+    before = Window.partitionBy(key).orderBy("_part", F.desc("_begin"), ts, tie, price)
+    taken = F.collect_list(F.when(~F.col("_begin"), F.struct(ts, tie, price))).over(before.rowsBetween(-2 * last, -1))
+    carried = ends.withColumn("_rows", taken).filter("_begin").select(key, "_part", F.explode(F.slice(F.reverse("_rows"), 1, last)).alias("_r"))
+    carried = carried.select(key, "_part", "_r.*", F.lit(True).alias("_carried"))
+    w = Window.partitionBy("_part", key).orderBy(ts, tie, price).rowsBetween(-last, -1)
     p = F.col(price)
-    return listings.withColumn("median", F.when(F.count(p).over(w) >= least, F.percentile(p, 0.5).over(w)))
+    d = rows.withColumn("_carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
+    d = d.withColumn("median", F.when(F.count(p).over(w) >= least, F.percentile(p, 0.5).over(w)))
+    return d.filter("not _carried").drop("_part", "_carried")
 
 
 def flag_deals(matches: DataFrame, medians: DataFrame, share: float = DEAL) -> DataFrame:

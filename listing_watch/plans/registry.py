@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,25 +16,13 @@ from ..operators import retrieve as rt
 from ..operators import state as st
 from ..sources import alerts as al
 from ..sources.store import stored
+from . import japanese, jobs, learn_sql
 from . import views as v
-from .watch import watch_run
+from .registry_parts import OWN, Query, registrar
 
-Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-
-
-def query(needs: list[str] | None = None, select: str | None = None, name: str | None = None):
-    """Registers a query under its function's name, with its SQL where there is one."""
-
-    def keep(f: Query) -> Query:
-        n = name or f.__name__
-        QUERIES[n] = f
-        if select is not None:
-            ORACLE_SQL[n] = v.sql(needs or [], select)
-        return f
-
-    return keep
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -133,7 +119,8 @@ def term_weight_hint(s, d):
 @query()
 def card_terms(s, d):
     c = v.listings(s, d).select("id", terms.card_terms(F.col("name"), F.col("description")).alias("c"))
-    return c.select("id", "c.terms", "c.tterms", "c.generic", F.sha2("c.tt", 256).alias("tt_sha"))
+    joined = lambda k: F.array_join(f"c.{k}", "|").alias(k)
+    return c.select("id", joined("terms"), joined("tterms"), joined("generic"), F.sha2("c.tt", 256).alias("tt_sha"))
 
 
 @query(["listings"], f"SELECT id, '{v.PREFIX}' || id AS url FROM listings")
@@ -474,11 +461,7 @@ class _Learn:
         self.pos, self.neg = p.filter("polarity = 1"), p.filter("polarity = 0")
         self.terms = stored(ln.collect_candidates(self.pos), "terms")
         self.df = stored(ln.sized(ln.candidate_df(self.terms, self.pos), self.pos), "term-df")
-        nested = stored(ln.nested_terms(self.df), "nested-terms")
-        ask = stored(ln.counted_terms(ln.drop_redundant(ln.rank_candidates(self.df), nested)), "asked-terms")
-        self.counts = stored(ask.join(ht.term_counts(v.prepped(s, d), ask), "term_t"), "term-counts")
-        self.ranked = stored(ln.rank_candidates(self.df, self.counts.select("surface", "listings").distinct()), "ranks")
-        self.kept = stored(ln.drop_redundant(self.ranked, nested), "kept-terms")
+        self.ranked, self.kept, self.counts = ln.ranked_terms(self.df, v.prepped(s, d))
         self.live = ln.live_negatives(self.neg)
 
     def signals(self) -> DataFrame:
@@ -538,7 +521,7 @@ def learn_excludes(s, d):
 
 @query()
 def learn_require(s, d):
-    return ln.learn_require(_Learn(s, d).kept)
+    return ln.learn_require(_Learn(s, d).kept).select("label_id", F.array_join("terms", "|").alias("terms"))
 
 
 @query()
@@ -590,8 +573,6 @@ def card_vocab(s, d):
 
 _SPREAD = """vocab AS (SELECT DISTINCT alert, unnest(tterms) AS tterm FROM cards WHERE mark = '{mark}'),
 spread AS (SELECT x.alert, x.tterm, count(*) FILTER (mark = 'confirmed') AS c, count(*) FILTER (mark = 'rejected') AS r, count(*) FILTER (mark IS NULL) AS u FROM vocab x JOIN cards k ON k.alert = x.alert AND contains(k.tt, x.tterm) GROUP BY ALL)"""
-# without the words of the rules, longest first
-_OWN = "length(regexp_replace(replace(replace(replace(tterm, 'here', ''), 'this', ''), 'the', ''), '\\s', '', 'g')) < 1"
 
 QUERIES["suggest_excludes"] = lambda s, d: rf.suggest_excludes(v.cards(s, d), v.card_rules(s, d)).select("alert", "place", "tterm", "count", "collateral", "broad", F.col("all").alias("in_all"))
 ORACLE_SQL["suggest_excludes"] = (
@@ -600,7 +581,7 @@ ORACLE_SQL["suggest_excludes"] = (
     + _SPREAD.format(mark="rejected")
     + f""",
 rows AS (SELECT s.alert, tterm, r AS count, CASE WHEN confirmed > 0 THEN u ELSE 0 END AS collateral, length(tterm) = 3 AND EXISTS (SELECT 1 FROM cards k WHERE k.alert = s.alert AND list_contains(k.tterms, s.tterm)) AS broad, r = rejected AS in_all
-  FROM spread s JOIN marks USING (alert) WHERE tterm NOT IN ('that', 'the') AND NOT {_OWN} AND CASE WHEN confirmed > 0 THEN c = 0 ELSE u = 0 END),
+  FROM spread s JOIN marks USING (alert) WHERE tterm NOT IN ('that', 'the') AND NOT {OWN} AND CASE WHEN confirmed > 0 THEN c = 0 ELSE u = 0 END),
 kept AS (SELECT * FROM rows a WHERE NOT EXISTS (SELECT 1 FROM rows b WHERE b.alert = a.alert AND b.tterm <> a.tterm AND contains(a.tterm, b.tterm) AND b.count >= a.count))
 SELECT * FROM (SELECT alert, row_number() OVER (PARTITION BY alert ORDER BY broad, collateral, count DESC, length(tterm) DESC, tterm) AS place, tterm, count, collateral, broad, in_all FROM kept) WHERE place <= 12"""
 )
@@ -644,7 +625,7 @@ def suggest_warnings(s, d):
     return out.select("alert", "nothing_kept", "nothing_confirmed")
 
 
-@query()
-def watch(s, d):
-    out = watch_run(v.listings(s, d), v.alerts(s), v.runs(s), v.seen(s, d), v.fingerprints(s, d), v.events(s, d).select("alert", F.col("price").cast("long").alias("price"), F.col("ts").alias("run_ts"), F.col("id").alias("pos")), v.now(), v.PREFIX, "shop")
-    return out["entries"].select("id", "alert", "status", "score", "deal", "relist", "target_hit", "lag_seconds")
+ORACLE_SQL.update(learn_sql.ORACLE_SQL)
+for part in (japanese, jobs):
+    QUERIES.update(part.QUERIES)
+    ORACLE_SQL.update(part.ORACLE_SQL)

@@ -136,14 +136,15 @@ def event_now(spark: SparkSession, sf_dir: str):
     return F.lit(spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("ts")).first()[0]).cast("timestamp")
 
 
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cards(spark: SparkSession, sf_dir: str, single: bool = False) -> DataFrame:
     """Conversation turns as cards: an alert for each run of eight conversations, words as terms, marks
-    by turn. The text's tight form is its words run together."""
+    by turn. The text's tight form is its words run together. single: an alert for each conversation,
+    every third turn of it confirmed."""
     d = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 2))
-    mark = F.when(F.col("conv_id") % 3 == 0, "confirmed").when(F.col("turn") % 2 == 1, "rejected")
+    mark = F.when(F.col("turn" if single else "conv_id") % 3 == 0, "confirmed").when(F.col("turn") % (3 if single else 2) == 1, "rejected")
     return d.select(
-        F.floor(F.col("conv_id") / 8).cast("string").alias("alert"),
+        F.floor(F.col("conv_id") / (1 if single else 8)).cast("string").alias("alert"),
         F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("id"),
         mark.alias("mark"),
         (F.length("text") / 4).alias("score"),
@@ -154,10 +155,10 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def card_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def card_rules(spark: SparkSession, sf_dir: str, single: bool = False) -> DataFrame:
     """The same four rules for every alert of the cards."""
     rows = [F.struct(F.lit(k).alias("kind"), F.lit(t).alias("term_t")) for k, t in (("exclude", "that"), ("require", "the"), ("signal", "this"), ("signal", "here"))]
-    return cards(spark, sf_dir).select("alert").distinct().select("alert", F.explode(F.array(*rows)).alias("r")).select("alert", "r.*")
+    return cards(spark, sf_dir, single).select("alert").distinct().select("alert", F.explode(F.array(*rows)).alias("r")).select("alert", "r.*")
 
 
 def _q(text) -> str:
@@ -248,16 +249,18 @@ NEEDS = {
 }
 
 
-def sql(names: list[str], select: str) -> str:
-    """`select` with the expressions it names, and those that they need, before it."""
+def sql(names: list[str], select: str, instead: dict[str, tuple[list[str], str]] | None = None) -> str:
+    """`select` with the expressions it names, and those that they need, before it. instead: other
+    expressions by name, each with what it needs."""
     order: list[str] = []
+    instead = instead or {}
 
     def add(n: str) -> None:
-        for m in NEEDS.get(n, []):
+        for m in instead[n][0] if n in instead else NEEDS.get(n, []):
             add(m)
         if n not in order:
             order.append(n)
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in order) + "\n" + select if order else select
+    return "WITH " + ",\n".join(f"{n} AS ({instead[n][1] if n in instead else CTE[n]})" for n in order) + "\n" + select if order else select

@@ -1,8 +1,12 @@
-"""The watch job: one run over a table of listings, from queries to feed entries and new state."""
+"""The watch job: one run over a table of listings, from queries to feed entries and new state, and
+a run with its feed and status, as one step from a state to the next.
+
+A state is the tables of STATE. Feeds keep the number of the run that added an entry (add_seq) and its
+place in that run (pos), which give their order."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
@@ -40,7 +44,7 @@ def watch_run(
     order = fd.Window.partitionBy("alert").orderBy("pos")
     near = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= fd.SHOWN_BORDERLINE).drop("k").withColumns({"relist": F.lit(False), "deal": F.lit(False)})
     rows = kept.withColumn("status", F.when(F.col("first_run"), "baseline").otherwise("match")).unionByName(near)
-    entries = fd.make_entries(rows, due, F.col("status"), now, url_prefix, marketplace)
+    entries = fd.make_entries(rows, due, F.col("status"), now, url_prefix, marketplace, keep=("pos",))
     if dry_run:
         return {"entries": entries, "judged": judged, "seen": seen, "fingerprints": fingerprints, "prices": prices, "runs": runs}
     new_fp = kept.select("fp", "id", now.alias("t"))
@@ -54,3 +58,35 @@ def watch_run(
         "prices": st.record_prices(prices, new_prices),
         "runs": runs.join(done.select("alert"), "alert", "left_anti").unionByName(done),
     }
+
+
+_FEED = "id string, url string, marketplace string, alert string, alert_label string, name string, price double, thumbnail string, seller_id string, condition string, listed_at timestamp, detected_at timestamp, lag_seconds bigint, score double, hits array<string>, status string, deal boolean, relist boolean, target_hit boolean, pos bigint, add_seq bigint"
+STATE = {
+    "seen": "alert string, id string, run_ts timestamp, pos bigint",
+    "fingerprints": "fp string, id string, t timestamp",
+    "prices": "alert string, price bigint, run_ts timestamp, pos bigint",
+    "runs": "alert string, initialized boolean, last_checked timestamp",
+    "feed": _FEED,
+}
+
+
+def empty_state(spark: SparkSession) -> dict[str, DataFrame]:
+    return {name: spark.createDataFrame([], schema) for name, schema in STATE.items()}
+
+
+def as_table(df: DataFrame, schema: str) -> DataFrame:
+    """df with the columns of a schema, cast to its types."""
+    fields = [part.strip().split(" ", 1) for part in schema.split(", ")]
+    return df.select(*[F.col(c).cast(kind).alias(c) for c, kind in fields])
+
+
+def watch_step(listings: DataFrame, alerts: DataFrame, state: dict[str, DataFrame], now: Column, number: int, url_prefix: str, marketplace: str, budget: int | None = None) -> dict[str, DataFrame]:
+    """The run `number` over listings: the tables of the next state, `entries` (what the run found, an
+    id once) and `status` (a row for each alert). Entries whose id the feed has are not added again."""
+    out = watch_run(listings, alerts, state["runs"], state["seen"], state["fingerprints"], state["prices"], now, url_prefix, marketplace, budget=budget)
+    new = fd.first_entries(out["entries"]).withColumn("add_seq", F.lit(number).cast("bigint"))
+    new = stored(as_table(new, _FEED), "new-entries")
+    feed = fd.prune_feed(fd.merge_feed(as_table(state["feed"], _FEED), new), now, fd.feed_order())
+    made = {name: stored(as_table(df, STATE[name]), name) for name, df in (("seen", out["seen"]), ("fingerprints", out["fingerprints"]), ("prices", out["prices"]), ("runs", out["runs"]), ("feed", feed))}
+    status = fd.alert_status(alerts, made["runs"], made["seen"], st.price_median(made["prices"]), made["feed"], now)
+    return {**made, "entries": new, "status": status}

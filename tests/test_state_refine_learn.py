@@ -70,27 +70,3 @@ def test_seen_and_prices_are_capped(spark):
     new = spark.createDataFrame([("a", "3", 0), ("a", "9", 1)], "alert string, id string, pos int")
     got = state.record_seen(seen, new, F.to_timestamp(F.lit("2024-01-02")), keep=4)
     assert sorted(r["id"] for r in got.collect()) == ["0", "1", "3", "9"]
-
-
-def test_streams(spark, tmp_path):
-    rows = [("a", str(i), f"f{i % 3}", 100.0 + i, f"2024-01-01 0{i}:00:00") for i in range(8)] + [("a", "2", "f9", 1.0, "2024-01-01 05:30:00")]
-    d = spark.createDataFrame(rows, "alert string, id string, fp string, price double, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
-    d.coalesce(1).write.parquet(str(tmp_path / "in"))
-    src = lambda: spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
-
-    def rows_of(out, name, mode="append"):
-        q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.table(name).collect()
-
-    stream.use_rocksdb(spark)
-    assert len(rows_of(stream.stream_dedupe(src()), "dedupe")) == 8
-    flags = {(r["id"], r["fp"]): r["relist"] for r in rows_of(stream.stream_relists(src()), "relists", "append")}
-    assert flags["0", "f0"] is False and flags["3", "f0"] is True and flags["2", "f9"] is False
-    med = {r["price"]: r for r in rows_of(stream.stream_price_median(src()), "medians")}
-    assert med[103.0]["median"] is None and med[104.0]["median"] == 101.5 and med[1.0]["deal"] is True
-    q = stream.stream_watch(src(), lambda b, n: {"entries": b.select("id")}, str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out" / "entries")).count() == 9
-    n = stream.stream_match_counts(src().withColumn("status", F.lit("match")), ts="ts")
-    assert n.isStreaming and n.columns == ["alert", "start", "end", "matches"]

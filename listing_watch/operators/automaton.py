@@ -1,10 +1,10 @@
 """Many terms in many texts: an Aho-Corasick automaton run once over each text.
 
 The terms, with the keys each belongs to, are looked at on the driver up to MOST rows and CHARS
-characters in all, LONGEST in one; what is within that bound goes to the tasks as one broadcast list, from which each
-worker builds the automaton once. A task reads a text once, however many terms there are, and
-emits the terms found, so only hits are shuffled. Beyond the bound `few_enough` gives None and the
-caller meets terms and texts on grams."""
+characters in all, LONGEST in one; what is within that bound goes to the tasks as one broadcast list,
+from which each worker builds the automaton once. A task reads a text once, however many terms there
+are, and emits the terms found, so only hits are shuffled. Beyond the bound `few_enough` gives None
+and the caller meets terms and texts on grams."""
 
 from __future__ import annotations
 

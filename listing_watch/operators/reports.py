@@ -22,8 +22,8 @@ def comps(sold: DataFrame) -> DataFrame:
 
 
 def recent_sold(sold: DataFrame, keep: int = RECENT) -> DataFrame:
-    """The first `keep` matched sold listings of each alert in candidate order."""
-    w = Window.partitionBy("alert").orderBy("pos")
+    """The first `keep` matched sold listings of each alert in candidate order, then by id."""
+    w = Window.partitionBy("alert").orderBy("pos", "id")
     return sold.filter("price is not null").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep)
 
 
@@ -38,9 +38,9 @@ def preview_summary(judged: DataFrame, params: DataFrame, alerts: DataFrame, now
 
 
 def preview_sample(judged: DataFrame, sample: int = SAMPLE, near: int = NEAR) -> DataFrame:
-    """The best matches and near misses of each alert by score, then candidate order, each with its
+    """The best matches and near misses of each alert by score, candidate order and id, each with its
     filterable terms (terms, tterms, generic, tt). judged has name and description."""
-    w = Window.partitionBy("alert", "status").orderBy(F.desc("score"), "pos")
+    w = Window.partitionBy("alert", "status").orderBy(F.desc("score"), "pos", "id")
     d = judged.filter("status != 'reject'").withColumn("place", F.row_number().over(w))
     d = d.filter(F.col("place") <= F.when(F.col("status") == "match", sample).otherwise(near))
     return d.withColumn("_c", card_terms(F.col("name"), F.col("description"))).select("*", "_c.*").drop("_c")

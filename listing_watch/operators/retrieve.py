@@ -63,8 +63,9 @@ def search_listings(matches: DataFrame, alerts: DataFrame) -> DataFrame:
     w = Window.partitionBy("alert", "query_ord").orderBy(F.desc("created"), "id")
     limits = alerts.select(F.col("name").alias("alert"), "per_query_limit")
     d = matches.withColumn("rank", F.row_number().over(w))
-    most = limits.agg(F.max("per_query_limit")).first()[0] if limits is not None else None
-    return d.filter(F.col("rank") <= F.lit(most or 0)).join(limits, "alert").filter("rank <= per_query_limit").drop("per_query_limit")
+    # alerts are few; a limit that is known lets the window drop rows before the shuffle
+    most = limits.agg(F.max("per_query_limit")).first()[0] or 0
+    return d.filter(F.col("rank") <= F.lit(most)).join(limits, "alert").filter("rank <= per_query_limit").drop("per_query_limit")
 
 
 def query_totals(matches: DataFrame, alerts: DataFrame) -> DataFrame:

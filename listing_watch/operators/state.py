@@ -52,9 +52,10 @@ def prune_fingerprints(fingerprints: DataFrame, now: Column, days: int = FINGERP
 
 def record_prices(prices: DataFrame, new: DataFrame, keep: int = MAX_PRICES) -> DataFrame:
     """prices (alert, price, run_ts, pos) with new rows of the same columns: positive whole prices,
-    the newest `keep` of each alert; in a run later places are newer."""
+    the newest `keep` of each alert; in a run later places are newer, and of one place
+    the higher price."""
     d = prices.unionByName(new.select("alert", F.col("price").cast("long").alias("price"), "run_ts", "pos")).filter("price > 0")
-    w = Window.partitionBy("alert").orderBy(F.desc("run_ts"), F.desc("pos"))
+    w = Window.partitionBy("alert").orderBy(F.desc("run_ts"), F.desc("pos"), F.desc("price"))
     return d.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep).drop("n")
 
 

@@ -122,8 +122,8 @@ NEEDS = {
 }
 
 
-def sql(name: str, select: str) -> str:
-    """`select` with the steps up to `name` before it, each worked out once."""
+def sql(name: str, select: str, *others: str) -> str:
+    """`select` with the steps up to `name` and the others before it, each worked out once."""
     order: list[str] = []
 
     def add(n: str) -> None:
@@ -132,7 +132,8 @@ def sql(name: str, select: str) -> str:
         if n not in order:
             order.append(n)
 
-    add(name)
+    for n in (name, *others):
+        add(n)
     steps = [("listings", v.CTE["listings"]), ("prepped", v.CTE["prepped"]), *[(n, STEPS[n]) for n in order]]
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({text})" for n, text in steps) + "\n" + select
 
@@ -141,6 +142,9 @@ _GRID = f"""SELECT label_id, ex_ord, q, bool_and({_TITLE.format("w.term_t")}) AS
     FROM (SELECT label_id, ord AS q, {_TIGHT.format("word")} AS term_t FROM (SELECT label_id, ord, unnest(string_split(query, ' ')) AS word FROM queries_) WHERE word <> '') w JOIN ex e USING (label_id) WHERE polarity = 1 GROUP BY label_id, ex_ord, q"""
 _GRID_ROWS = f"SELECT label_id, ex_ord, string_agg(CASE WHEN t THEN 'T' WHEN f THEN 'd' ELSE '.' END, '' ORDER BY q) AS marks FROM ({_GRID}) GROUP BY label_id, ex_ord"
 
+_THRESHOLD = """SELECT label_id, greatest(3::DOUBLE, round(least(greatest(coalesce(top, 4::DOUBLE), coalesce(worst * 1.2::DOUBLE + 0.5::DOUBLE, 0::DOUBLE)), coalesce(weakest, 8::DOUBLE) * 0.75::DOUBLE), 1)) AS min_score
+        FROM (SELECT label_id, 0.75::DOUBLE * sum(weight) AS top FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY weight DESC, ord) AS k FROM signals_) WHERE k <= 2 GROUP BY label_id)
+        FULL JOIN (SELECT label_id, min(score) FILTER (polarity = 1) AS weakest, max(score) FILTER (polarity = 0) AS worst FROM scored GROUP BY label_id) USING (label_id)"""
 _BEST = f"SELECT *, row_number() OVER (PARTITION BY id ORDER BY {_HINT.format('term_t')} DESC, length(term_t) DESC, i) AS n FROM ({terms('card_texts', 'id', 'text')})"
 
 ORACLE_SQL = {
@@ -155,11 +159,16 @@ SELECT id, coalesce(terms, '') AS terms, coalesce(tterms, '') AS tterms, '' AS g
     "learn_signals": sql("signals_", "SELECT label_id, ord, surface, term_t, weight FROM signals_"),
     "learn_excludes": sql("excludes_", "SELECT label_id, ord, surface, term_t FROM excludes_"),
     "learn_require": sql("picks", "SELECT label_id, string_agg(surface, '|' ORDER BY k) AS terms FROM picks GROUP BY label_id"),
-    "learn_threshold": sql(
+    "learn_threshold": sql("scored", _THRESHOLD),
+    "learn_alert": sql(
         "scored",
-        """SELECT label_id, greatest(3::DOUBLE, round(least(greatest(coalesce(top, 4::DOUBLE), coalesce(worst * 1.2::DOUBLE + 0.5::DOUBLE, 0::DOUBLE)), coalesce(weakest, 8::DOUBLE) * 0.75::DOUBLE), 1)) AS min_score
-        FROM (SELECT label_id, 0.75::DOUBLE * sum(weight) AS top FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY weight DESC, ord) AS k FROM signals_) WHERE k <= 2 GROUP BY label_id)
-        FULL JOIN (SELECT label_id, min(score) FILTER (polarity = 1) AS weakest, max(score) FILTER (polarity = 0) AS worst FROM scored GROUP BY label_id) USING (label_id)""",
+        f"""SELECT label_id AS name, label, coalesce(queries, '') AS queries, coalesce(require, '') AS require, signals, weights, coalesce(exclude, '') AS exclude, min_score, learned_from
+        FROM (SELECT label_id, string_agg(surface, '|' ORDER BY ord) AS signals, string_agg(round(weight * 100)::BIGINT::VARCHAR, '|' ORDER BY ord) AS weights FROM signals_ GROUP BY label_id)
+        JOIN (SELECT label_id, substr(arg_min(title, ex_ord), 1, 60) AS label, string_agg(ex_ord::VARCHAR, '|' ORDER BY ex_ord) AS learned_from FROM ex WHERE polarity = 1 GROUP BY label_id) USING (label_id)
+        LEFT JOIN (SELECT label_id, string_agg(surface, '|' ORDER BY k) AS require FROM picks GROUP BY label_id) USING (label_id)
+        LEFT JOIN (SELECT label_id, string_agg(surface, '|' ORDER BY ord) AS exclude FROM excludes_ GROUP BY label_id) USING (label_id)
+        LEFT JOIN (SELECT label_id, string_agg(query, '|' ORDER BY ord) AS queries FROM queries_ GROUP BY label_id) USING (label_id) LEFT JOIN ({_THRESHOLD}) USING (label_id)""",
+        "queries_",
     ),
     "build_queries": sql("queries_", "SELECT label_id, ord, query, origin FROM queries_"),
     "coverage_grid": sql("queries_", f"SELECT label_id, ex_ord, marks, CASE WHEN contains(marks, 'T') THEN 'title' WHEN contains(marks, 'd') THEN 'text' ELSE 'none' END AS reach FROM ({_GRID_ROWS})"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars, terms, text
+from ..functions import scalars, session, terms, text
 from ..operators import feed as fd
 from ..operators import hits as ht
 from ..operators import learn as ln
@@ -110,6 +110,13 @@ def extract_terms(s, d):
     return r.select("doc_id", "ord", "x.term", "x.term_t")
 
 
+@query([], f"SELECT doc_id, sha256(regexp_replace(lower(text), '[^0-9a-z]', '', 'g')) AS tight_sha, count(term) AS terms FROM documents LEFT JOIN ({learn_sql.terms('documents', 'doc_id', 'text')}) USING (doc_id) GROUP BY doc_id, text")
+def sql_functions(s, d):
+    """The text layer as SQL has it."""
+    session.register(s)
+    return s.sql("SELECT doc_id, sha2(tight(text), 256) AS tight_sha, cast(size(extract_terms(text)) AS long) AS terms FROM {docs}", docs=_docs(s, d))
+
+
 @query([], "SELECT lang, term, 1 + least(length(term), 10) * 0.12::DOUBLE + CASE WHEN regexp_matches(term, '[0-9]') AND regexp_matches(term, '[a-z]') THEN 1.4 WHEN regexp_matches(term, '[0-9]') THEN 0.3 ELSE 0 END AS hint FROM (SELECT DISTINCT lang, unnest(string_split(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' ')) AS term FROM documents) WHERE term <> ''")
 def term_weight_hint(s, d):
     w = _docs(s, d).select("lang", F.explode(F.split(text.spaced(F.col("text")), " ")).alias("term")).filter("term != ''").distinct()
@@ -557,7 +564,9 @@ def scoring_report(s, d):
 def learn_alert(s, d):
     e = _examples(s, d)
     out = ln.learned_alert(ln.learn_alerts(e, v.prepped(s, d)), e)
-    return out.select("name", "label", "queries", "match", "learned_from")
+    joined = lambda c, to: F.array_join(c, "|").alias(to)
+    hundredths = F.transform("match.signals", lambda x: F.round(x["weight"] * 100).cast("long").cast("string"))
+    return out.select("name", "label", joined("queries", "queries"), joined(F.flatten("match.require"), "require"), joined("match.signals.term", "signals"), joined(hundredths, "weights"), joined("match.exclude", "exclude"), "match.min_score", joined("learned_from", "learned_from"))
 
 
 # refining ----------------------------------------------------------------------------------

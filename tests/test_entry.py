@@ -12,7 +12,13 @@ def test_entry_and_keys(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["parse_item_id", "term_hits", "two_phase_verdict", "flag_relists", "rolling_price_median", "suggest_excludes"])
+def test_what_is_not_there_is_left_out(monkeypatch):
+    monkeypatch.setattr(entry, "_there", lambda module: False)
+    assert set(entry.queries()) == set(registry.QUERIES) and set(entry.oracle_sql()) == set(registry.ORACLE_SQL)
+    assert entry.find_spec("listing_watch.nowhere") is None
+
+
+@pytest.mark.parametrize("name", ["parse_item_id", "term_hits", "two_phase_verdict", "flag_relists", "rolling_price_median", "suggest_excludes", "suggest_requires_single", "card_terms_japanese", "flatten_rules", "sql_functions", "watch_state", "learn_alert"])
 def test_against_sql(spark, name):
     import os
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .terms import _extract_terms, tight_word
+from .text import few_at_once
 
 
-@F.pandas_udf(T.StringType())
-def _tight(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: tight_word(x or ""))
+@F.arrow_udf(T.StringType())
+def _tight(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for b in batches:
+        yield from (pa.array([tight_word(x or "") for x in texts.to_pylist()], pa.string()) for texts in few_at_once(b))
 
 
 def register(spark: SparkSession) -> None:

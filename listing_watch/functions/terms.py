@@ -2,22 +2,22 @@
 
 A run is a stretch of katakana, hiragana, kanji, or ASCII letters and digits with hyphens. Terms
 are the runs, two adjoining runs, and phrases that cross short hiragana. The walk over offsets is
-a small Python helper in Arrow batches; everything about the terms after that is native."""
+a small Python helper over some texts at a time; everything about the terms after that is native."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scalars import term_weight_hint
-from .text import HIRAGANA, KATAKANA, KEPT, tight
+from .text import HIRAGANA, KATAKANA, KEPT, few_at_once, tight
 
 #: Words of listings that say nothing about the item.
 STOP_WORDS = """
@@ -101,8 +101,8 @@ def _phrases(text: str, runs: list[tuple[str, str, int, int]]) -> Iterator[str]:
             end = b
 
 
-def terms_of(text: str | None, max_len: int = MAX_TIGHT) -> list[str]:
-    """Surfaces of the terms of a text, in order of extraction, one for each tight form."""
+def tight_terms(text: str | None, max_len: int = MAX_TIGHT) -> dict[str, str]:
+    """The surface of each tight form of the terms of a text, in order of extraction."""
     plain = unicodedata.normalize("NFKC", text or "")
     runs = runs_of(plain)
     found = [w for w, k, _, _ in runs if k != "H" and not (k == "J" and len(w) < 2)]
@@ -112,22 +112,40 @@ def terms_of(text: str | None, max_len: int = MAX_TIGHT) -> list[str]:
             break
         found.append(phrase)
     out: dict[str, str] = {}
-    for word in found:
+    for word in dict.fromkeys(found):
         t = tight_word(word)
         if 2 <= len(t) <= max_len and not t.isdigit() and t not in _STOPS:
             out.setdefault(t, word)
-    return list(out.values())
+    return out
+
+
+def terms_of(text: str | None, max_len: int = MAX_TIGHT) -> list[str]:
+    """Surfaces of the terms of a text, in order of extraction, one for each tight form."""
+    return list(tight_terms(text, max_len).values())
+
+
+def _lists(batches: Iterator[pa.Array], of: Callable[[str], list[tuple]], kind: T.ArrayType) -> Iterator[pa.Array]:
+    """The rows that `of` makes of each text, as arrays of structs."""
+    types = {"string": pa.string(), "int": pa.int32()}
+    fields = [pa.field(f.name, types[f.dataType.simpleString()]) for f in kind.elementType]
+    for b in batches:
+        for texts in few_at_once(b):
+            rows, ends = [], [0]
+            for x in texts.to_pylist():
+                rows += of(x or "")
+                ends.append(len(rows))
+            flat = [pa.array(c, f.type) for f, c in zip(fields, zip(*rows) if rows else [()] * len(fields))]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, fields=fields))
 
 
-@F.pandas_udf(RUN)
-def _script_runs(texts: pd.Series) -> pd.Series:
-    row = lambda r: dict(zip(("surface", "script", "start", "end"), r))
-    return texts.map(lambda x: [row(r) for r in runs_of(unicodedata.normalize("NFKC", x or ""))])
+@F.arrow_udf(RUN)
+def _script_runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from _lists(batches, lambda x: runs_of(unicodedata.normalize("NFKC", x)), RUN)
 
 
-@F.pandas_udf(TERM)
-def _extract_terms(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: [{"term": w, "term_t": tight_word(w)} for w in terms_of(x)])
+@F.arrow_udf(TERM)
+def _extract_terms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from _lists(batches, lambda x: [(w, t) for t, w in tight_terms(x).items()], TERM)
 
 
 def script_runs(text: Column) -> Column:
@@ -159,12 +177,13 @@ def card_terms(title: Column, description: Column, limit: int = 40) -> Column:
     text = F.trim(F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(description, F.lit(""))))
     found = F.transform(
         extract_terms(text),
-        lambda x, i: F.struct((-term_weight_hint(x["term_t"], is_generic(x["term_t"]))).alias("h"), (-F.length(x["term_t"])).alias("n"), i.alias("i"), x["term"].alias("term"), x["term_t"].alias("term_t")),
+        lambda x, i: F.struct((-term_weight_hint(x["term_t"], is_generic(x["term_t"]))).alias("h"), (-F.length(x["term_t"])).alias("n"), i.alias("i"), x["term"].alias("term"), x["term_t"].alias("term_t"), is_generic(x["term_t"]).alias("g")),
     )
-    best = F.slice(F.array_sort(found), 1, limit)
-    return F.struct(
+    made = lambda best: F.struct(
         F.transform(best, lambda x: x["term"]).alias("terms"),
         F.transform(best, lambda x: x["term_t"]).alias("tterms"),
-        F.transform(F.filter(best, lambda x: is_generic(x["term_t"])), lambda x: x["term_t"]).alias("generic"),
-        tight(text).alias("tt"),
+        F.transform(F.filter(best, lambda x: x["g"]), lambda x: x["term_t"]).alias("generic"),
     )
+    # a lambda's variable is worked out once, where a column would be at each use
+    c = F.get(F.transform(F.array(F.slice(F.sort_array(found), 1, limit)), made), F.lit(0))
+    return F.struct(c["terms"].alias("terms"), c["tterms"].alias("tterms"), c["generic"].alias("generic"), tight(text).alias("tt"))

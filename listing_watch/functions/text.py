@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,17 +21,34 @@ KATAKANA = "".join(chr(c) for c in range(0x30A1, 0x30F7))
 HIRAGANA = "".join(chr(ord(c) - 0x60) for c in KATAKANA)
 #: Fixed value: what the tight form keeps, as the inside of a regex class.
 KEPT = "0-9a-zぁ-ゖ一-鿿ー々"
+#: Fixed value: characters that NFKC leaves as they are, whatever stands beside them, as the inside of
+#: a regex class of Java and of Python.
+STABLE = "\\x00-\\x7FÀ-ÿ–—‘-„、。ぁ-ゖァ-ヾ一-鿿"
 #: Codes of ASCII letters and digits up to this length must stand free of others.
 SHORT_CODE = 6
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: "" if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
+def few_at_once(texts: pa.Array, size: int = 1_000_000) -> Iterator[pa.Array]:
+    """Slices of texts of some `size` bytes; a single longer text comes alone. What is made of a text
+    can be many times its size, so that a whole Arrow batch of it would not be bounded."""
+    ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())).to_pylist()
+    start, before = 0, 0
+    for i, end in enumerate(ends):
+        if i > start and end - before > size:
+            yield texts.slice(start, i - start)
+            start, before = i, ends[i - 1]
+    yield texts.slice(start)
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for b in batches:
+        yield from (pa.array([x and unicodedata.normalize("NFKC", x) for x in texts.to_pylist()], pa.string()) for texts in few_at_once(b))
 
 
 def nfkc(text: Column) -> Column:
-    return _nfkc(text)
+    odd = F.when(text.rlike(f"[^{STABLE}]"), text)
+    return F.coalesce(_nfkc(odd), text, F.lit(""))
 
 
 def kata_to_hira(text: Column) -> Column:

@@ -77,3 +77,28 @@ def test_card_terms_are_in_the_text(spark):
     c = d.select(terms.card_terms(F.col("t"), F.col("d")).alias("c")).first()["c"]
     assert c["terms"] and len(c["terms"]) == len(c["tterms"]) and all(t in c["tt"] for t in c["tterms"])
     assert c["tterms"][0] == "gx01" and set(c["generic"]) <= set(c["tterms"])
+
+
+def test_texts_are_taken_few_at_once(spark):
+    import pyarrow as pa
+
+    texts = pa.array(["ab", None, "c" * 30, "d", "", "e" * 9, "f"])
+    parts = list(text.few_at_once(texts, 10))
+    assert pa.concat_arrays(parts).equals(texts) and [len(p) for p in parts] == [2, 1, 3, 1]
+    assert [len(p) for p in text.few_at_once(pa.array([], pa.string()), 10)] == [0]
+    # results keep their rows where a batch comes in several slices
+    d = spark.range(0, 9, 1, 1).select("id", F.concat(F.lit("ﾛﾎﾞ "), F.repeat(F.lit("word "), 60_000), F.col("id").cast("string"), F.lit("x")).alias("t"))
+    got = d.select("id", F.element_at(terms.script_runs(F.col("t")), -1)["surface"].alias("last"), F.size(terms.extract_terms(F.col("t"))).alias("n"), F.substring(text.nfkc(F.col("t")), 1, 2).alias("k")).collect()
+    assert [(r["last"], r["n"], r["k"]) for r in got] == [(f"{r['id']}x", 3, "ロボ") for r in got] and len(got) == 9
+
+
+def test_stable_characters_are_never_changed_by_nfkc():
+    import re
+    import sys
+    import unicodedata
+
+    stable = [c for c in map(chr, range(sys.maxunicode + 1)) if re.match(f"[{text.STABLE}]", c)]
+    # a character can join the one before it only where it is not the first of a decomposition
+    later = {x for c in map(chr, range(sys.maxunicode + 1)) if (d := unicodedata.decomposition(c)) and d[0] != "<" for x in d.split()[1:]}
+    assert all(unicodedata.normalize("NFKC", c) == c and unicodedata.combining(c) == 0 and f"{ord(c):04X}" not in later for c in stable)
+    assert "é" in stable and "ｶ" not in stable and "゙" not in stable

@@ -66,6 +66,8 @@ TERM = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.Struct
 
 
 def tight_word(text: str) -> str:
+    if text.isascii():  # only case and what is dropped are left to look at
+        return text.lower() if text.isalnum() else _DROP.sub("", text.lower())
     return _DROP.sub("", unicodedata.normalize("NFKC", text).lower().translate(_FOLD))
 
 
@@ -78,9 +80,10 @@ def runs_of(text: str) -> list[tuple[str, str, int, int]]:
     """(surface, script, start, end) of the runs of an NFKC text, edges stripped."""
     out = []
     for m in _RUNS.finditer(text):
-        edge = _EDGES.get(m.lastgroup, "")
-        a = m.start() + len(m[0]) - len(m[0].lstrip(edge)) if edge else m.start()
-        word = m[0].strip(edge) if edge else m[0]
+        word, edge, a = m[0], _EDGES.get(m.lastgroup, ""), m.start()
+        if word[0] in edge or word[-1] in edge:
+            a += len(word) - len(word.lstrip(edge))
+            word = word.strip(edge)
         if word:
             out.append((word, m.lastgroup, a, a + len(word)))
     return out
@@ -179,11 +182,12 @@ def card_terms(title: Column, description: Column, limit: int = 40) -> Column:
         extract_terms(text),
         lambda x, i: F.struct((-term_weight_hint(x["term_t"], is_generic(x["term_t"]))).alias("h"), (-F.length(x["term_t"])).alias("n"), i.alias("i"), x["term"].alias("term"), x["term_t"].alias("term_t"), is_generic(x["term_t"]).alias("g")),
     )
-    made = lambda best: F.struct(
-        F.transform(best, lambda x: x["term"]).alias("terms"),
-        F.transform(best, lambda x: x["term_t"]).alias("tterms"),
-        F.transform(F.filter(best, lambda x: x["g"]), lambda x: x["term_t"]).alias("generic"),
+    best = F.struct(F.slice(F.sort_array(found), 1, limit).alias("best"), tight(text).alias("tt"))
+    made = lambda x: F.struct(
+        F.transform(x["best"], lambda y: y["term"]).alias("terms"),
+        F.transform(x["best"], lambda y: y["term_t"]).alias("tterms"),
+        F.transform(F.filter(x["best"], lambda y: y["g"]), lambda y: y["term_t"]).alias("generic"),
+        x["tt"].alias("tt"),
     )
     # a lambda's variable is worked out once, where a column would be at each use
-    c = F.get(F.transform(F.array(F.slice(F.sort_array(found), 1, limit)), made), F.lit(0))
-    return F.struct(c["terms"].alias("terms"), c["tterms"].alias("tterms"), c["generic"].alias("generic"), tight(text).alias("tt"))
+    return F.get(F.transform(F.array(best), made), F.lit(0))

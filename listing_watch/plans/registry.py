@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -468,8 +470,24 @@ class _Learn:
         self.pos, self.neg = p.filter("polarity = 1"), p.filter("polarity = 0")
         self.terms = stored(ln.collect_candidates(self.pos), "terms")
         self.df = stored(ln.sized(ln.candidate_df(self.terms, self.pos), self.pos), "term-df")
-        self.ranked, self.kept, self.counts = ln.ranked_terms(self.df, v.prepped(s, d))
         self.live = ln.live_negatives(self.neg)
+        self.corpus = v.prepped(s, d)
+
+    @cached_property
+    def _ranked(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return ln.ranked_terms(self.df, self.corpus)
+
+    @property
+    def ranked(self) -> DataFrame:
+        return self._ranked[0]
+
+    @property
+    def kept(self) -> DataFrame:
+        return self._ranked[1]
+
+    @property
+    def counts(self) -> DataFrame:
+        return self._ranked[2]
 
     def signals(self) -> DataFrame:
         return stored(ln.learn_signals(ln.neg_penalty(self.kept, self.live)), "signals")
@@ -483,7 +501,7 @@ class _Learn:
 
 @query()
 def collect_candidates(s, d):
-    return ln.collect_candidates(ht.prepared(_examples(s, d))).select("label_id", "term_t", "surface", "first_seen.*")
+    return ln.collect_candidates(_examples(s, d)).select("label_id", "term_t", "surface", "first_seen.*")
 
 
 @query()

@@ -33,3 +33,15 @@ def test_corpus_counts_take_each_id_once(spark, monkeypatch):
     want = {"robot": 4, "red": 2, "x1": 1, "none": 0}
     for most in (1, 100):
         assert {r["term_t"]: r["listings"] for r in hits.term_counts(_texts(spark), terms, most=most).collect()} == want
+
+
+def test_redundant_terms_are_told_without_their_pairs(spark, monkeypatch):
+    rows = [("a", x, n, g) for x, n, g in (("robot", 3, False), ("bot", 3, False), ("ro", 5, True), ("robots", 2, False), ("obo", 4, False), ("x", 9, False), ("zobo", 1, None))]
+    rows += [("b", "bot", 2, False), ("b", "bots", 1, False), ("b", "otsb", 1, None), ("b", None, 1, False), ("b", "", 1, False), (None, "bot", 1, False), (None, "robot", 1, False)]
+    c = spark.createDataFrame(rows, "label_id string, term_t string, df_all long, generic boolean")
+    by_pairs = sorted(map(str, learn.drop_redundant(c, most=1).collect()))
+    written, store = [], learn.stored
+    monkeypatch.setattr(learn, "stored", lambda d, name: written.append(name) or store(d, name))
+    assert sorted(map(str, learn.drop_redundant(c).collect())) == by_pairs and not written
+    kept = {(r[0], r[1]) for r in learn.drop_redundant(c).collect()}
+    assert ("a", "obo") in kept and ("a", "bot") not in kept and ("a", "robots") not in kept and (None, "bot") in kept and ("b", "otsb") in kept

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 
 import pyarrow as pa
@@ -59,6 +59,8 @@ _RUNS = re.compile(
     f"(?P<K>[ァ-ヾ]+)|(?P<H>[ぁ-ゖ]+)|(?P<J>[一-鿿々〇〻]+)|(?P<A>[0-9A-Za-z{re.escape(HYPHENS)}]+)"
 )
 _EDGES = {"A": HYPHENS, "K": MIDDLE_DOT}
+_ASCII_RUN = re.compile(f"[0-9A-Za-z{re.escape(HYPHENS)}]+")
+_OTHER_RUN = re.compile("[ァ-ヾぁ-ゖ一-鿿々〇〻]")
 
 
 RUN = T.ArrayType(T.StructType([T.StructField("surface", T.StringType()), T.StructField("script", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -107,6 +109,9 @@ def _phrases(text: str, runs: list[tuple[str, str, int, int]]) -> Iterator[str]:
 def tight_terms(text: str | None, max_len: int = MAX_TIGHT) -> dict[str, str]:
     """The surface of each tight form of the terms of a text, in order of extraction."""
     plain = unicodedata.normalize("NFKC", text or "")
+    if not _OTHER_RUN.search(plain):
+        # runs of one script never adjoin, so that the terms are the runs, of which each word counts once
+        return _tights((w.strip(HYPHENS) for w in dict.fromkeys(_ASCII_RUN.findall(plain))), max_len)
     runs = runs_of(plain)
     found = [w for w, k, _, _ in runs if k != "H" and not (k == "J" and len(w) < 2)]
     found += [x[0] + y[0] for x, y in pairwise(runs) if x[3] == y[2] and "H" not in (x[1], y[1])]
@@ -114,6 +119,10 @@ def tight_terms(text: str | None, max_len: int = MAX_TIGHT) -> dict[str, str]:
         if n == PHRASES:
             break
         found.append(phrase)
+    return _tights(found, max_len)
+
+
+def _tights(found: Iterable[str], max_len: int) -> dict[str, str]:
     out: dict[str, str] = {}
     for word in dict.fromkeys(found):
         t = tight_word(word)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import codes_of, contains_term, fold, nfkc, padded_of, tight_of
+from ..functions.text import codes_of, contains_term, fold, nfkc_each, padded_of
 from ..sources.store import spread, stored
 from . import automaton
 from .blocks import by_size, in_blocks
@@ -37,10 +37,12 @@ def once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
 
 def prepared(listings: DataFrame) -> DataFrame:
     """listings with t_title, s_title, t_desc and s_desc; each text is normalised once."""
-    d = spread(listings).withColumns({"_a": nfkc(F.col("name")), "_b": nfkc(F.col("description"))})
-    d = once(d, {"_c": fold(F.col("_a")), "_d": fold(F.col("_b"))})
-    d = once(d, {f"{form}_{k}": f(F.col(c)) for k, c in (("title", "_c"), ("desc", "_d")) for form, f in (("t", tight_of), ("s", padded_of))})
-    return d.drop("_a", "_b", "_c", "_d")
+    a, b = nfkc_each([F.col("name"), F.col("description")])
+    d = once(spread(listings).withColumns({"_a": a, "_b": b}), {"_c": fold(F.col("_a")), "_d": fold(F.col("_b"))})
+    d = once(d, {"s_title": padded_of(F.col("_c")), "s_desc": padded_of(F.col("_d"))})
+    # the tight form is the spaced one without its spaces
+    forms = [f(k).alias(f"{x}_{k}") for k in ("title", "desc") for x, f in (("t", lambda k: F.replace(F.col(f"s_{k}"), F.lit(" "), F.lit(""))), ("s", lambda k: F.col(f"s_{k}")))]
+    return d.select(*[F.col(f"`{c}`") for c in listings.columns], *forms)
 
 
 def _grams(tight: Column, singles: bool) -> Column:
@@ -174,6 +176,7 @@ def term_counts(prepped: DataFrame, terms: DataFrame, most: int = automaton.MOST
 
     Up to PASSES times `most` terms are found by one automaton after another, and only the numbers of a
     text's terms are kept of it; terms beyond that go by their hits."""
+    terms = terms.select("term_t").distinct()
     rows = automaton.few_enough(terms, [], PASSES * most, PASSES * automaton.CHARS)
     if rows is None or len(rows) <= FEW:
         n = term_hits(prepped, terms).groupBy("term_t").agg(F.count("*").alias("listings"))
@@ -181,7 +184,7 @@ def term_counts(prepped: DataFrame, terms: DataFrame, most: int = automaton.MOST
         texts = spread(prepped.select("id", "s_title", "s_desc"))
         texts = stored(texts, "spaced-texts") if len(rows) > most else texts
         n = reduce(DataFrame.unionByName, [_counts_of(texts, rows[i : i + most]) for i in range(0, len(rows), most)])
-    return terms.select("term_t").distinct().join(n, "term_t", "left").select("term_t", F.coalesce("listings", F.lit(0)).alias("listings"))
+    return terms.join(n, "term_t", "left").select("term_t", F.coalesce("listings", F.lit(0)).alias("listings"))
 
 
 def _counts_of(texts: DataFrame, rows: list[tuple]) -> DataFrame:

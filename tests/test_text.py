@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +105,22 @@ def test_stable_characters_are_never_changed_by_nfkc():
     later = {x for c in map(chr, range(sys.maxunicode + 1)) if (d := unicodedata.decomposition(c)) and d[0] != "<" for x in d.split()[1:]}
     assert all(unicodedata.normalize("NFKC", c) == c and unicodedata.combining(c) == 0 and f"{ord(c):04X}" not in later for c in stable)
     assert "é" in stable and "ｶ" not in stable and "゙" not in stable
+
+
+def test_short_classes_give_the_forms_of_the_whole_ones(spark):
+    chars = [chr(c) for c in (*range(0x500), *range(0x2000, 0x2100), *range(0x2FF0, 0x3200), 0x4DFF, 0x4E00, 0x9FFF, 0xA000, 0xFF21, 0xFF71, 0x10400, 0x1F600)]
+    rows = [(f"a{x}B {x}",) for x in chars] + [("",), (None,), ("Über–Straße ½ カード",)]
+    d = spark.createDataFrame(rows, "x string")
+    t = F.coalesce("x", F.lit(""))
+    whole = [F.regexp_replace(t, f"[^{text.KEPT}]+", ""), F.trim(F.regexp_replace(t, f"[^{text.KEPT}]+", " ")), t.rlike(f"[^{text.STABLE}]")]
+    each = text.nfkc_each([F.col("x"), F.lit("ｶﾞ")])
+    for r in d.select(F.array(text.tight_of(t), text.spaced_of(t), text.is_odd(t).cast("string")).alias("a"), F.array(whole[0], whole[1], whole[2].cast("string")).alias("b"), F.array(*each).alias("c"), F.array(text.nfkc(F.col("x")), F.lit("ガ")).alias("d")).collect():
+        assert r["a"] == r["b"] and r["c"] == r["d"]
+
+
+def test_terms_of_one_script_are_the_runs(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice(["ab", "C1", " ", "-", "_a", "é", "–x", "12", "Ａ", "½", ".", "\n"]) for _ in range(r.randint(0, 40))) for _ in range(400)]
+    fast = [terms.tight_terms(x) for x in texts]
+    monkeypatch.setattr(terms, "_OTHER_RUN", re.compile(""))  # every text by the walk over runs
+    assert [list(x.items()) for x in fast] == [list(terms.tight_terms(x).items()) for x in texts]

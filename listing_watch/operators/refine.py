@@ -6,11 +6,15 @@ is a substring of tt, without the guard for short codes. Joins are by alert."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import spread
+from ..sources.store import spread, stored
 from . import automaton
+from .blocks import by_size, in_blocks
 from .hits import _gram_of, _grams
 
 MAX_EXCLUDES, MAX_REQUIRES = 12, 8
@@ -32,20 +36,47 @@ def _marks(cards: DataFrame) -> DataFrame:
     return cards.groupBy("alert").agg(F.count_if(m == "confirmed").alias("confirmed"), F.count_if(m == "rejected").alias("rejected"), F.count_if(m.isNull()).alias("unmarked"))
 
 
-def _spread(cards: DataFrame, vocab: DataFrame, most: int = automaton.MOST) -> DataFrame:
+def _spread(cards: DataFrame, vocab: DataFrame, most: int = automaton.MOST, per_alert: int | None = None) -> DataFrame:
     """(alert, tterm, term, in_confirmed, in_rejected, in_unmarked): how many cards have each term.
 
-    A card is read once for all terms of its alert; a vocabulary beyond the automaton's bound meets the
-    cards on 2-grams."""
-    rows = automaton.few_enough(vocab.select("alert", F.col("tterm").alias("term_t")), ["alert"], most)
-    if rows is None:
-        d = _on_grams(cards, vocab)
+    A card is read once for all terms of its alert. A vocabulary beyond the automaton's bound meets the
+    cards in blocks, of which only counts come; alerts of more than `per_alert` (`blocks.TERMS`) terms
+    go by 2-grams."""
+    vocab = stored(vocab, "card-terms")
+    words = vocab.select("alert", F.col("tterm").alias("term_t")).dropna()
+    rows = automaton.few_enough(words, ["alert"], most)
+    if rows is not None:
+        g = _counted(automaton.find(spread(cards.select("alert", "mark", "tt")), rows, ["alert"], ["mark"], {"there": ("tt", "tt")}, guard=False).withColumnRenamed("term_t", "tterm").withColumn("k", F.lit(1)))
     else:
-        d = automaton.find(spread(cards.select("alert", "mark", "tt")), rows, ["alert"], ["mark"], {"there": ("tt", "tt")}, guard=False).withColumnRenamed("term_t", "tterm").withColumn("k", F.lit(1))
+        few, many = by_size(words, ["alert"], per_alert)
+        g = _counts_in_blocks(cards, few)
+        if many is not None:
+            g = g.unionByName(_counted(_on_grams(cards, many.withColumnRenamed("term_t", "tterm"))))
+    return g.join(vocab, ["alert", "tterm"]).select("alert", "tterm", "term", "in_confirmed", "in_rejected", "in_unmarked")
+
+
+def _counted(found: DataFrame) -> DataFrame:
     m = F.col("mark")
     n = lambda test: F.sum(F.when(test, F.col("k")).otherwise(0)).cast("long")
-    g = d.groupBy("alert", "tterm").agg(n(m == "confirmed").alias("in_confirmed"), n(m == "rejected").alias("in_rejected"), n(m.isNull()).alias("in_unmarked"))
-    return g.join(vocab, ["alert", "tterm"]).select("alert", "tterm", "term", "in_confirmed", "in_rejected", "in_unmarked")
+    return found.groupBy("alert", "tterm").agg(n(m == "confirmed").alias("in_confirmed"), n(m == "rejected").alias("in_rejected"), n(m.isNull()).alias("in_unmarked"))
+
+
+def _counts_in_blocks(cards: DataFrame, words: DataFrame) -> DataFrame:
+    marks = ("confirmed", "rejected", None)
+
+    def work(finder: automaton.Finder, rows: pa.Table) -> dict[str, list]:
+        n: dict = {m: Counter() for m in marks}
+        seen: dict[str, None] = {}
+        for mark, tt in zip(rows.column("mark").to_pylist(), rows.column("tt").to_pylist()):
+            found = finder.terms((), tt or "", "")
+            seen.update(dict.fromkeys(found))
+            if mark in n:
+                n[mark].update(found)
+        return {"tterm": list(seen), **{k: [n[m][x] for x in seen] for k, m in zip(("in_confirmed", "in_rejected", "in_unmarked"), marks)}}
+
+    texts = cards.select("alert", "mark", "tt", F.xxhash64("id", "tt").alias("_part"))
+    g = in_blocks(texts, F.octet_length("tt"), words, ["alert"], F.col("_part"), work, "tterm string, in_confirmed long, in_rejected long, in_unmarked long", guard=False)
+    return g.groupBy("alert", "tterm").agg(*[F.sum(c).alias(c) for c in ("in_confirmed", "in_rejected", "in_unmarked")])
 
 
 def _on_grams(cards: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -63,9 +94,31 @@ def own_compound(term: Column, own: Column) -> Column:
     return (F.length(F.regexp_replace(rest, r"[ぁ-ゖー\s]", "")) < 1) & (F.length(F.regexp_replace(rest, r"\s", "")) < 2)
 
 
-def drop_redundant_rows(rows: DataFrame, prefer_shorter: bool) -> DataFrame:
+def drop_redundant_rows(rows: DataFrame, prefer_shorter: bool, most: int | None = None) -> DataFrame:
     """Without terms that another as well evidenced (count) covers: the shorter stays, or the longer.
-    Terms are short: containment is an equality with a proper substring, and no pairs are tried."""
+    An automaton of an alert's terms reads each of them, and only what stays comes of it; alerts of
+    more than `most` (`blocks.TERMS`) terms go by substrings."""
+    rows = stored(rows, "suggested-terms")
+    few, many = by_size(rows, ["alert"], most)
+
+    def run(key: tuple, found: pa.Table) -> pa.Table:
+        if key[0].as_py() is None:
+            return found
+        words = found.column("tterm").to_pylist()
+        n = {w: k for w, k in zip(words, found.column("count").to_pylist()) if w}
+        finder, worse = automaton.Finder([(w,) for w in n], False), set()
+        for w, k in n.items():
+            for b in finder.terms((), w, ""):
+                if len(b) < len(w) and (n[b] >= k if prefer_shorter else k >= n[b]):
+                    worse.add(w if prefer_shorter else b)
+        return found.filter(pa.array([w not in worse for w in words], pa.bool_()))
+
+    kept = few.groupBy("alert").applyInArrow(run, few.schema)
+    return kept if many is None else kept.unionByName(_less_redundant_by_substrings(many, prefer_shorter))
+
+
+def _less_redundant_by_substrings(rows: DataFrame, prefer_shorter: bool) -> DataFrame:
+    """Terms are short: containment is an equality with a proper substring, and no pairs are tried."""
     t, n = F.col("tterm"), F.length("tterm")
     cut = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(t, i, k))))
     parts = rows.filter(n > 1).select("alert", F.col("tterm").alias("outer"), F.col("count").alias("n_outer"), F.explode(F.array_distinct(cut)).alias("inner"))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from listing_watch.operators import blocks, hits, learn
+from listing_watch.operators import blocks, hits, learn, refine, reports
 
 
 def _texts(spark):
@@ -45,3 +45,36 @@ def test_redundant_terms_are_told_without_their_pairs(spark, monkeypatch):
     assert sorted(map(str, learn.drop_redundant(c).collect())) == by_pairs and not written
     kept = {(r[0], r[1]) for r in learn.drop_redundant(c).collect()}
     assert ("a", "obo") in kept and ("a", "bot") not in kept and ("a", "robots") not in kept and (None, "bot") in kept and ("b", "otsb") in kept
+
+
+def _cards(spark):
+    rows = [("a", str(i), m, t) for i, (m, t) in enumerate([("confirmed", "redrobot"), ("confirmed", "redbot"), ("rejected", "bluerobots"), ("rejected", "robots"), (None, "bot"), ("other", "zzz"), (None, None)])]
+    rows += [("b", "8", "rejected", "robot"), (None, "9", "rejected", "robot")]
+    return spark.createDataFrame(rows, "alert string, id string, mark string, tt string")
+
+
+def test_card_counts_in_blocks_are_those_of_the_automaton(spark, monkeypatch):
+    vocab = spark.createDataFrame([("a", x, x) for x in ("robot", "red", "bot", "zzz", "none", "o")] + [("b", "robot", "Robot"), ("c", "red", "red"), (None, "robot", "robot")], "alert string, tterm string, term string")
+    c = _cards(spark)
+    want = sorted(map(tuple, refine._spread(c, vocab).collect()))
+    assert ("a", "robot", "robot", 1, 2, 0) in want and ("a", "zzz", "zzz", 0, 0, 0) in want
+    assert sorted(map(tuple, refine._spread(c, vocab, 1, 1).collect())) == want  # alerts of many terms
+    monkeypatch.setattr(refine, "_on_grams", None)
+    assert sorted(map(tuple, refine._spread(c, vocab, 1).collect())) == want
+    monkeypatch.setattr(blocks, "BLOCK", 10)  # several blocks of an alert
+    assert sorted(map(tuple, refine._spread(c, vocab, 1).collect())) == want
+
+
+def test_redundant_rows_by_automaton_and_by_substrings(spark):
+    rows = [("a", x, n) for x, n in (("robot", 3), ("bot", 3), ("ro", 5), ("robots", 2), ("b", 1), ("zrobot", 4))] + [("b", "bot", 1), ("b", "bots", 1), (None, "bot", 1), (None, "bots", 1)]
+    d = spark.createDataFrame(rows, "alert string, tterm string, count long")
+    for shorter in (True, False):
+        want = sorted(map(str, refine._less_redundant_by_substrings(d, shorter).collect()))
+        assert sorted(map(str, refine.drop_redundant_rows(d, shorter).collect())) == want == sorted(map(str, refine.drop_redundant_rows(d, shorter, most=1).collect()))
+
+
+def test_a_preview_drops_rows_before_its_shuffle(spark):
+    d = spark.createDataFrame([("a", str(i), "match" if i % 2 else "borderline", float(i % 7), i, "red lamp", "a lamp") for i in range(80)], "alert string, id string, status string, score double, pos long, name string, description string")
+    out = reports.preview_sample(d)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["status"], r["place"]) for r in out.collect()) == [("borderline", i) for i in range(1, 9)] + [("match", i) for i in range(1, 25)]

@@ -15,9 +15,10 @@ TITLE_FACTOR = 1.25
 
 
 def rule_hits(hits: DataFrame, rules: DataFrame, with_desc: bool = True) -> DataFrame:
-    """(alert, id, kind, grp, ord, term, weight, in_title): the rules' terms that a listing has."""
+    """(alert, id, kind, grp, ord, term, weight, in_title): the rules' terms that a listing has. Hits with
+    an alert meet its rules only; others meet those of every alert that has the term."""
     h = hits if with_desc else hits.filter("in_title")
-    return h.join(rules, "term_t").select("alert", "id", "kind", "grp", "ord", "term", "weight", "in_title")
+    return h.join(rules, [c for c in ("alert", "term_t") if c in h.columns]).select("alert", "id", "kind", "grp", "ord", "term", "weight", "in_title")
 
 
 def excluded_by(found: DataFrame) -> DataFrame:

@@ -128,3 +128,15 @@ def test_rule_tights(spark):
     rules = spark.createDataFrame(rows, "alert string, kind string, grp int, ord int, term string, term_t string, weight double")
     got = {r["alert"]: (r["require"], r["signals"], r["exclude"]) for r in refine.rule_tights(rules).collect()}
     assert got == {"a": ([["x1", "y1"], ["z1"]], {"t1": 2.0, "s1": 3.0}, []), "b": ([], {}, ["e1"])}
+
+
+def test_examples_meet_the_rules_of_their_own_label(spark, monkeypatch):
+    e = spark.createDataFrame([(f"l{i}", j, 1, str(j), "red lamp", "") for i in range(8) for j in range(2)], "label_id string, ex_ord int, polarity int, item_id string, name string, description string")
+    rules = spark.createDataFrame([(f"l{i}", "signal", None, 0, "lamp", "lamp", 4.0 + i) for i in range(8)], "alert string, kind string, grp int, ord int, term string, term_t string, weight double")
+    params = rules.select("alert", F.lit(4.0).alias("min_score"), F.lit(0.55).alias("borderline_ratio"), F.lit("full").alias("scope"))
+    made, join = [], match.rule_hits
+    monkeypatch.setattr(match, "rule_hits", lambda *a: made.append(join(*a)) or made[-1])
+    got = {(r["label_id"], r["ex_ord"]): r["score"] for r in learn.judge_examples(hits.prepared(e), rules, params).collect()}
+    assert got == {(f"l{i}", j): 1.25 * (4 + i) for i in range(8) for j in range(2)}
+    # a row for each hit, not one for each label that has the term
+    assert [d.count() for d in made] == [16]

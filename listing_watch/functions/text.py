@@ -29,9 +29,14 @@ SHORT_CODE = 6
 
 
 def few_at_once(texts: pa.Array, size: int = 1_000_000) -> Iterator[pa.Array]:
-    """Slices of texts of some `size` bytes; a single longer text comes alone. What is made of a text
-    can be many times its size, so that a whole Arrow batch of it would not be bounded."""
-    ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())).to_pylist()
+    """Slices of texts, or of lists of texts, of some `size` bytes; a single longer one comes alone. What
+    is made of a text can be many times its size, so that a whole Arrow batch of it would not be bounded."""
+    sums = lambda n: pc.cumulative_sum(pc.cast(pc.fill_null(n, 0), pa.int64())).to_pylist()
+    if pa.types.is_list(texts.type):
+        inner = [0, *sums(pc.binary_length(texts.flatten()))]
+        ends = [inner[i] for i in sums(pc.list_value_length(texts))]
+    else:
+        ends = sums(pc.binary_length(texts))
     start, before = 0, 0
     for i, end in enumerate(ends):
         if i > start and end - before > size:
@@ -49,7 +54,7 @@ def _nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _nfkc_each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for b in batches:
-        yield pa.array([x and [y and unicodedata.normalize("NFKC", y) for y in x] for x in b.to_pylist()], pa.list_(pa.string()))
+        yield from (pa.array([x and [y and unicodedata.normalize("NFKC", y) for y in x] for x in texts.to_pylist()], pa.list_(pa.string())) for texts in few_at_once(b))
 
 
 def is_odd(text: Column) -> Column:

@@ -124,3 +124,14 @@ def test_terms_of_one_script_are_the_runs(monkeypatch):
     fast = [terms.tight_terms(x) for x in texts]
     monkeypatch.setattr(terms, "_OTHER_RUN", re.compile(""))  # every text by the walk over runs
     assert [list(x.items()) for x in fast] == [list(terms.tight_terms(x).items()) for x in texts]
+
+
+def test_lists_of_texts_go_through_python_some_at_a_time():
+    import pyarrow as pa
+
+    rows = [["ﬁ" * 200_000, None], None, ["x", "ﬁ" * 200_000], [], [None, "Ａ"], ["ﬁ" * 900_000, ""]] * 3
+    for b in (pa.array(rows, pa.list_(pa.string())), pa.array([["y"], *rows], pa.list_(pa.string())).slice(1)):
+        parts = list(text._nfkc_each.func(iter([b])))
+        assert [y for x in parts for y in x.to_pylist()] == [x and [y and y.replace("ﬁ", "fi").replace("Ａ", "A") for y in x] for x in rows]
+        assert len(parts) > 5
+    assert [x.to_pylist() for x in text._nfkc_each.func(iter([pa.array([], pa.list_(pa.string()))]))] == [[]]

@@ -53,6 +53,11 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
         starts = np.cumsum([0, *map(len, parts)]) + np.arange(len(parts) + 1)
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a : b - 1], SEED) for a, b in zip(starts[: -words].tolist(), starts[words:].tolist())]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits set in over half of the hashes as a signed 64-bit integer; zero where there are none."""
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64)
     packed = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little")

@@ -205,7 +205,8 @@ def recover_item_id(raw: DataFrame) -> Column:
 
 
 def normalize_listings(raw: DataFrame) -> DataFrame:
-    """Raw listings in the canonical columns: of each field's aliases the first that is filled."""
+    """Raw listings in the canonical columns: of each field's aliases the first that is filled. A
+    description or seller_id that is there but empty stays the empty text: null is what was not fetched."""
     kinds = dict(raw.dtypes)
 
     def first(names: list[str], to: str) -> Column:
@@ -219,6 +220,8 @@ def normalize_listings(raw: DataFrame) -> DataFrame:
     out = {k: first(v, kind.get(k, "string")) for k, v in ALIASES.items()}
     out["id"] = F.coalesce(out["id"], recover_item_id(raw))
     out["name"] = F.coalesce(out["name"], F.lit(""))
+    for k in ("description", "seller_id"):
+        out[k] = F.coalesce(out[k], *[F.col(f"`{n}`").cast("string") for n in ALIASES[k] if n in kinds])
     return raw.select(*[c.alias(k) for k, c in out.items()])
 
 

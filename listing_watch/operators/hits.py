@@ -11,6 +11,7 @@ that repeat an id."""
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from functools import reduce
 
 import pyarrow as pa
@@ -80,10 +81,10 @@ def hits_within(prepped: DataFrame, terms: DataFrame, keys: list[str], most: int
     return _folded(automaton.find(spread(prepped.select(*keys, "id", *TEXTS)), rows, keys, ["id"], forms), keys)
 
 
-def _found_by_id(finder: automaton.Finder, rows) -> tuple[dict, dict]:
-    """The terms of each id of a block (id, s_title, s_desc), in the title and in either text."""
+def found_by_id(finder: automaton.Finder, rows: Iterable[tuple]) -> tuple[dict, dict]:
+    """The terms of each id of the rows (id, s_title, s_desc): in the title and in the description, and in either text."""
     title, either = {}, {}
-    for i, a, b in zip(*[rows.column(c).to_pylist() for c in ("_id", "s_title", "s_desc")]):
+    for i, a, b in rows:
         # the tight form is the spaced one without its spaces
         t, d = (finder.terms((), (s or "").replace(" ", ""), s or "") for s in (a, b))
         title.setdefault(i, (set(), set()))[0].update(t)
@@ -93,9 +94,13 @@ def _found_by_id(finder: automaton.Finder, rows) -> tuple[dict, dict]:
     return title, either
 
 
+def _block(rows: pa.Table) -> Iterable[tuple]:
+    return zip(*[rows.column(c).to_pylist() for c in ("_id", "s_title", "s_desc")])
+
+
 def _hits_in_blocks(prepped: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     def work(finder: automaton.Finder, rows) -> dict[str, list]:
-        title, either = _found_by_id(finder, rows)
+        title, either = found_by_id(finder, _block(rows))
         hits = [(i, x, x in title[i][0], x in title[i][1]) for i, found in either.items() for x in sorted(found)]
         return dict(zip(("id", "term_t", "in_title", "in_desc"), map(list, zip(*hits) if hits else [()] * 4)))
 
@@ -115,7 +120,7 @@ def hit_counts(prepped: DataFrame, terms: DataFrame, keys: list[str], most: int
     few, many = by_size(_words(terms, keys), keys, most)
 
     def work(finder: automaton.Finder, rows) -> dict[str, list]:
-        title, either = _found_by_id(finder, rows)
+        title, either = found_by_id(finder, _block(rows))
         n, k = Counter(), Counter()
         for x in either.values():
             n.update(x)

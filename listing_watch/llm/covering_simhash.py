@@ -147,11 +147,13 @@ def attach(rows: DataFrame, target: DataFrame, key: str, value: str, total: int
 
     Keys of many rows would each be one task of the join. They are those of at least a
     HOT_KEYS-th of all rows (`total`, or a number above it, where it is known), so at most HOT_KEYS,
-    and go to their rows by broadcast; only the others are shuffled."""
+    and go to their rows by broadcast; only the others are shuffled. Where there are none the join is plain."""
     if total is None:
         total = target.agg(F.sum("k")).first()[0] or 0
     least = max(HOT_ROWS, total // HOT_KEYS)
     hot = target.filter(F.col("k") >= least).select(key, F.col(value).alias("hot_value"))
+    if hot.isEmpty():
+        return rows.join(target.select(key, value), key).select(*rows.columns, value)
     d = rows.join(F.broadcast(hot), key, "left")
     done = d.filter("hot_value is not null").select(*rows.columns, F.col("hot_value").alias(value))
     rest = d.filter("hot_value is null").drop("hot_value").join(target.filter(F.col("k") < least).select(key, value), key)

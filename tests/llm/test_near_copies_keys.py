@@ -37,3 +37,24 @@ def test_no_broadcast_without_a_hot_key(spark):
     d = c.attach(edges, c.stored(low, "lows"), "b", "m", 100)
     assert "Union" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(x) for x in d.select("a", "b", "m").collect()) == [(i, i + 1, i) for i in range(50)]
+
+
+def test_sketches_in_the_join_lose_no_near_copy(spark):
+    r = random.Random(2)
+    rows, want = [], []
+    for size in (1, 30, 62, 66, 130, 700, 3900, 4200, 9000):
+        for share in (0.0, 0.05, 0.1, 0.2, 0.5, 1.0):
+            a = {r.getrandbits(64) for _ in range(size)}
+            b = set(list(a)[int(share * size / 2) :]) | {r.getrandbits(64) for _ in range(int(share * size))}
+            x, y = (n.np.array(sorted(s), n.np.uint64) for s in (a, b))
+            p, q = n.sketch(x), n.sketch(y)
+            rows.append((len(rows), n.folded(p).tolist(), n.folded(q).tolist()))
+            want.append((len(a) + len(b), len(a ^ b), len(p), len(q), n.may_be_similar(p, len(a), q, len(b))))
+    d = spark.createDataFrame(rows, "i int, x array<long>, y array<long>")
+    got = {z["i"]: z["d"] for z in d.select("i", n._differ(c.F.col("x"), c.F.col("y")).alias("d")).collect()}
+    assert all(got[i] <= apart for i, (_, apart, *_) in enumerate(want))
+    # where neither was folded, nor one more than twice as long, the verdict is that of whole sketches
+    for i, (both, _, p, q, may) in enumerate(want):
+        if max(p, q) <= 8 * n.LONGS and max(p, q) <= 2 * min(p, q):
+            assert (180 * got[i] <= 20 * both) == may
+    assert sum(180 * got[i] > 20 * w[0] for i, w in enumerate(want)) > len(want) / 4
